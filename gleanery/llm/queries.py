@@ -5,20 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, quality_sql, simhash
+from . import bpe, quality_rules, quality_sql, sharding, simhash, warc
 from .shared import table, unsigned_hex
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file that op10 uses by default."""
+    try:
+        import public_tokenizers
+
+        return public_tokenizers.path("word_bpe_49k.json")
+    except ImportError:
+        return "/opt/tokenizers/word_bpe_49k.json"
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archived(table(spark, sf_dir, "pages"), payloads=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.clustered(table(spark, sf_dir, "documents"))
     return out.select("doc_id", unsigned_hex("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op9_simhash)}
-ORACLES: dict[str, str] = {"op4_quality_rules": quality_sql.OP4}
+def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, names = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return out.select("doc_id", *names.values())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op4_quality_rules, op5_sampled_splitters, op8_warc_zstd, op9_simhash, op10_bpe_tree)
+}
+
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": quality_sql.OP4,
+    "op8_warc_zstd": """
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first
+      FROM (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages))""",
+}
