@@ -1,0 +1,163 @@
+import datetime
+import hashlib
+import re
+
+from gleanery.llm import pii
+
+KEY = "k"
+
+
+def h(kind, i, value, bits=256):
+    return hashlib.new(f"sha{bits}", f"{KEY}|{kind}|{i}|{value}".encode()).hexdigest()
+
+
+def pair(left, lm, right, rm, kind):
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            left = (left + int(h(kind, i, right)[:15], 16)) % lm
+        else:
+            right = (right + int(h(kind, i, left)[:15], 16)) % rm
+    return left, right
+
+
+def shift(half, stream, hexa):
+    out = ""
+    for j, c in enumerate(half):
+        by = int(stream[j % 64 * 2 : j % 64 * 2 + 2], 16)
+        if hexa:
+            out += "0123456789abcdef"[(int(c, 16) + by) % 16]
+            continue
+        for first, n in (("0", 10), ("A", 26), ("a", 26)):
+            if ord(first) <= ord(c) < ord(first) + n:
+                c = chr(ord(first) + (ord(c) - ord(first) + by) % n)
+                break
+        out += c
+    return out
+
+
+def strings(text, kind, hexa=False):
+    cut = (len(text) + 1) // 2
+    a, b = text[:cut], text[cut:]
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            a = shift(a, h(kind, i, b.lower(), 512), hexa)
+        else:
+            b = shift(b, h(kind, i, a.lower(), 512), hexa)
+    return a + b
+
+
+def numbers(d, kind):
+    a = len(d) // 2
+    b = len(d) - a
+    left, right = pair(int(d[:a]), 10**a, int(d[a:]), 10**b, kind)
+    return f"{left:0{a}d}{right:0{b}d}"
+
+
+def refill(form, new):
+    it = iter(new)
+    return re.sub("[0-9]", lambda _: next(it), form)
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10
+
+
+def as_date(m):
+    for form, pattern in (("%Y-%m-%d", pii.ISO_DATE), ("%d.%m.%Y", pii.DOTTED_DATE), ("%m/%d/%Y", pii.SLASHED_DATE)):
+        if re.match(pattern, m):
+            try:
+                return form, (datetime.datetime.strptime(m, form).date() - datetime.date(1800, 1, 1)).days
+            except ValueError:
+                return None, -1
+    return None, -1
+
+
+def expected(m):
+    d = re.sub("[^0-9]", "", m)
+    if "@" in m:
+        stem, dot, tld = m.rpartition(".")
+        return strings(stem, "email") + dot + tld
+    if m.endswith('"'):
+        head, plain, _ = m.split('"')
+        new = strings(plain.lower(), "secret", True)
+        return f'{head}"{new.upper() if plain == plain.upper() else new}"'
+    if "(" in m or m[0] == "+" or re.match(pii.PLAIN_PHONE, m):
+        return refill(m, d[:-10] + numbers(d[-10:], "phone"))
+    if re.match(pii.CARD, m) and re.match("[3-6]|2[2-7]", d) and luhn(d) == 0:
+        body = d[:2] + numbers(d[2:-1], "card")
+        return refill(m, body + str((10 - luhn(body + "0")) % 10))
+    if re.match(pii.IP, m) and all(int(x) <= 255 for x in m.split(".")):
+        p = [*map(int, m.split("."))]
+        a, b = pair(p[0] * 256 + p[1], 65536, p[2] * 256 + p[3], 65536, "address")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    form, day = as_date(m)
+    if 0 <= day < 146097:
+        a, b = pair(day // 773, 189, day % 773, 773, "date")
+        new = datetime.date(1800, 1, 1) + datetime.timedelta(a * 773 + b)
+        return {"%Y-%m-%d": f"{new.year}-{new.month:02d}-{new.day:02d}", "%d.%m.%Y": f"{new.day:02d}.{new.month:02d}.{new.year}", "%m/%d/%Y": f"{new.month:02d}/{new.day:02d}/{new.year}"}[form]
+    if re.match(pii.SSN, m):
+        area, group, serial = map(int, m.split("-"))
+        if 1 <= area <= 899 and area != 666 and group and serial:
+            a, b = pair((area - 1 if area < 666 else area - 2) * 99 + group - 1, 898 * 99, serial - 1, 9999, "social")
+            k = a // 99
+            return f"{k + 1 if k < 665 else k + 2:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    return m
+
+
+def replaced(text):
+    return re.sub(pii.PATTERN, lambda m: expected(m[0]), text)
+
+
+CASES = [
+    "Write to Jane.Doe+x@Mail5.example.com, or jane.doe+x@mail5.example.com.",
+    'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"### secret: "ABCDEF0123456789ABCD" token = "short"',
+    "+1 (743) 555-3824 and (743) 555-3824, 743-555-3824; +49 743 555 3824",
+    "4785380592391140 4111111111111111 4111 1111 1111 1111 4111-1111-1111-1111 4111111111111112 9870157079875996 378282246310005",
+    "IPs 233.233.171.252 and 256.1.1.1, 0.0.0.0, 1.2.3, 01.2.3.4, version 2.0.",
+    "2024-02-29 2023-02-29 29.02.2024 02/29/2024 31/12/2024 1799-12-31 1800-01-01 2199-12-31 2200-01-01",
+    "123-45-6789 666-45-6789 000-45-6789 900-45-6789 123-00-6789 123-45-0000 899-99-9999",
+    "no personal data here", "", "7", '"', "in!!.ein.54@mail3.example.com!! %%%" + "x" * 300 + "@a.example.org",
+]
+
+
+def test_against_brute_force(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*CASES, None])], "doc_id long, text string").repartition(1)
+    out, n = pii.pseudonymised(df, KEY)
+    for r in out.collect():
+        text = [*CASES, None][r.doc_id]
+        if text is None:
+            assert r.text is None and r[n] == 0
+        else:
+            assert r.text == replaced(text), text
+            assert r[n] == sum(expected(m) != m for m in re.findall(pii.PATTERN, text))
+
+
+def test_values_stay_linked_and_valid(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(CASES)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.pseudonymised(df, KEY)[0].collect()}
+    emails = re.findall(r"[^ ,]+@\S+?\.com", out[0])
+    assert emails[0].lower() == emails[1] and emails[0] != "Jane.Doe+x@Mail5.example.com"
+    assert len({re.sub("[^0-9]", "", x)[-10:] for x in re.findall(r"[+(0-9][^,;a]*", out[2])}) == 1
+    cards = [re.sub("[^0-9]", "", x) for x in (out[3].split(" ")[1], out[3][34:53], out[3][54:73])]
+    assert len(set(cards)) == 1 and luhn(cards[0]) == 0 and cards[0] != "4111111111111111"
+    assert out[3].endswith("4111111111111112 9870157079875996 " + out[3].split(" ")[-1])
+    dates = out[5].split(" ")
+    assert dates[1] == "2023-02-29" and dates[4] == "31/12/2024" and as_date(dates[0])[1] == as_date(dates[2])[1] == as_date(dates[3])[1]
+
+
+def test_permutations(spark):
+    ips = spark.range(70_000).selectExpr("id AS doc_id", "concat('10.1.', id div 256 % 256, '.', id % 256, ' ', date_add(date '1900-01-01', cast(id as int))) AS text").where("doc_id < 65536")
+    out = pii.pseudonymised(ips, KEY)[0].selectExpr("split(text, ' ')[0] AS ip", "try_cast(split(text, ' ')[1] AS date) AS day")
+    r = out.selectExpr("count(DISTINCT ip)", "count(DISTINCT day)", "count(*)").first()
+    assert tuple(r) == (65536, 65536, 65536)
+
+
+def test_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out, n = pii.pseudonymised(docs.withColumn("n_pseudonyms", docs.doc_id), KEY)
+    got = {r.doc_id: r for r in out.collect()}
+    assert n == "_n_pseudonyms" and len(got) == docs.count()
+    for r in docs.collect():
+        assert got[r.doc_id].text == replaced(r.text)
+    assert pii.pseudonymised(docs.limit(0), KEY)[0].count() == 0
+    assert not any(x in pii.pseudonymised(docs, KEY)[0]._jdf.queryExecution().toString() for x in ("Python", "Arrow"))
