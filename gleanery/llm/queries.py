@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, quality_sql, sharding, simhash, warc
+from . import bpe, decontamination, pii, quality_rules, quality_sql, sharding, simhash, warc
 from .shared import table, unsigned_hex
 
 
@@ -21,6 +21,10 @@ def tokenizer_path() -> str:
         return "/opt/tokenizers/word_bpe_49k.json"
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -31,6 +35,11 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, n = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", n)
+
+
 def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archived(table(spark, sf_dir, "pages"), payloads=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,7 +56,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_quality_rules, op5_sampled_splitters, op8_warc_zstd, op9_simhash, op10_bpe_tree)
+    f.__name__: f for f in (op2_decontamination, op4_quality_rules, op5_sampled_splitters, op7_feistel_pii, op8_warc_zstd, op9_simhash, op10_bpe_tree)
 }
 
 ORACLES: dict[str, str] = {

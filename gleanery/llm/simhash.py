@@ -225,13 +225,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def clustered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id for every row."""
-    prints, fp = with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width=width)
-    prints = staged(prints.withColumnRenamed(fp, "fp"), "fingerprints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    """doc_id, text_hash, fp, root and component_id for every row; root is the same in a component."""
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
+    prints, fp = with_fingerprint(slim, width=width)
+    prints = staged(prints, "fingerprints")
+    nodes = staged(prints.groupBy(fp).agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     links = components(linked(nodes.select("fp"), radius))
     members = links.union(links.select("v", "v").distinct()).toDF("fp", "root")
     roots = members.join(nodes, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    of = members.join(roots, "root").select("fp", "component_id")
-    nodes = nodes.join(of, "fp", "left").select("fp", F.when(of["fp"].isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
-    return prints.join(nodes, "fp").select("doc_id", "fp", "component_id")
+    of = members.join(roots, "root").select("fp", "root", "component_id")
+    nodes = nodes.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return prints.join(nodes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without all but one row of each component: that with the smallest id.
+
+    A null id is the largest. Only ids and hashes are compared; the texts meet the kept ids in a
+    semi-join.
+    """
+    rows = staged(clustered(docs, doc_id, text), "clusters")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x")
+    kept = staged(rows.groupBy("root").agg(first).select(F.col("x.doc_id").alias("__kept_id"), F.col("x.text_hash").alias("__kept_hash")), "kept")
+    same = F.col(doc_id).eqNullSafe(F.col("__kept_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__kept_hash"))
+    out = docs.join(kept, same, "left_semi")
+    if rows.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        return out
+    mark = prefixed(docs, "__hash")["__hash"]  # rows that repeat id and text
+    return out.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([doc_id, mark]).drop(mark)
