@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, pii, quality_rules, quality_sql, sharding, simhash, warc
+from . import bpe, decontamination, masked_lm, pii, quality_model, quality_rules, quality_sql, sharding, simhash, warc
 from .shared import table, unsigned_hex
 
 
@@ -21,10 +21,18 @@ def tokenizer_path() -> str:
         return "/opt/tokenizers/word_bpe_49k.json"
 
 
+def op1_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,7 +64,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op4_quality_rules, op5_sampled_splitters, op7_feistel_pii, op8_warc_zstd, op9_simhash, op10_bpe_tree)
+    f.__name__: f for f in (op1_weak_labels, op2_decontamination, op3_masked_lm, op4_quality_rules, op5_sampled_splitters, op7_feistel_pii, op8_warc_zstd, op9_simhash, op10_bpe_tree)
 }
 
 ORACLES: dict[str, str] = {
