@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, masked_lm, pii, quality_model, quality_rules, quality_sql, sharding, simhash, warc
+from . import bpe, decontamination, masked_lm, pii, quality_model, quality_rules, quality_sql, sharding, simhash, substring_dedup, warc
 from .shared import table, unsigned_hex
 
 
@@ -43,6 +43,10 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
 def op7_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, n = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", n)
@@ -64,7 +68,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_weak_labels, op2_decontamination, op3_masked_lm, op4_quality_rules, op5_sampled_splitters, op7_feistel_pii, op8_warc_zstd, op9_simhash, op10_bpe_tree)
+    f.__name__: f for f in (op1_weak_labels, op2_decontamination, op3_masked_lm, op4_quality_rules, op5_sampled_splitters, op6_collinear_chaining, op7_feistel_pii, op8_warc_zstd, op9_simhash, op10_bpe_tree)
 }
 
 ORACLES: dict[str, str] = {
