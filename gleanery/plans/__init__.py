@@ -1 +1,4 @@
+"""The library's queries: importing this package fills the catalogue."""
 
+from . import search_queries, text_queries  # noqa: F401
+from .catalog import ORACLES, QUERIES  # noqa: F401
