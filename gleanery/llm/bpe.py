@@ -62,7 +62,7 @@ class Codec:
         """Encode in one parallel call what the cache lacks."""
         if len(self.cache) + len(words) > CACHE_UNITS:
             self.cache.clear()
-        new = list(words - self.cache.keys())
+        new = [w for w in words if w not in self.cache]
         for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
             self.cache[w] = array("I", e.ids).tobytes()
 
