@@ -120,7 +120,7 @@ def ocr_quality(text: Column) -> Column:
 def markdown_table(rows: Column) -> Column:
     """A pipe table from an array of rows; short rows are padded to the widest."""
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    cells = lambda r: F.transform(r, lambda c: F.regexp_replace(c, r"\|", r"\\\\|"))
+    cells = lambda r: F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|")))
     line = lambda r: F.concat(F.lit("|"), F.array_join(F.concat(cells(r), F.array_repeat(F.lit(""), width - F.size(r))), "|"), F.lit("|"))
     rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
     lines = F.transform(rows, line)
