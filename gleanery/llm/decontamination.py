@@ -5,9 +5,10 @@ is a window of two blocks of words, moved by one block; a block has as many word
 item, MIN_BLOCK at least, so each item that a document quotes lies whole in some passage. An
 item's score is its BM25 sum over the passage's distinct terms divided by the sum over all of
 its own terms, so 1 means that all its terms occur; all items of THRESHOLD or more are
-retrieved. WAND passes over items whose terms' greatest contributions stay below that, and the
-greatest contributions per block of the postings pass over whole blocks. Blocks of words whose
-terms cannot reach it together are not searched.
+retrieved. Postings are cut into blocks of ITEMS_BLOCK items that have the same limits for all
+terms. A term's greatest contribution to a block, summed over the passage's terms, bounds every
+score in it; blocks below the threshold are passed over whole, and within the others WAND goes
+from pivot to pivot by the block's greatest contributions.
 
 A retrieved item counts when its question and its answer both share OVERLAP of their word
 three-grams with the words around the passage. An item has one text; its answer is its last
@@ -27,6 +28,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from math import ceil, log
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, GRAM = 0.6, 0.5, 3
 MIN_BLOCK, MIN_ANSWER = 64, 5
-POSTINGS_BLOCK = 32
+ITEMS_BLOCK = 8
 PART_BYTES = 32 << 20
 EPSILON = 1e-9
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -65,16 +67,15 @@ def grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
 
 
 class Postings:
-    """A term's items and contributions, with the greatest one overall and per block."""
+    """A term's items and contributions, with the greatest one overall and for each block it is in."""
 
-    __slots__ = ("items", "weights", "most", "block_most", "block_last")
+    __slots__ = ("items", "weights", "most", "blocks", "block_most", "starts")
 
     def __init__(self, pairs: list[tuple[int, float]]):
         self.items, self.weights = [p[0] for p in pairs], [p[1] for p in pairs]
         self.most = max(self.weights)
-        cuts = range(0, len(pairs), POSTINGS_BLOCK)
-        self.block_most = [max(self.weights[k : k + POSTINGS_BLOCK]) for k in cuts]
-        self.block_last = [self.items[min(k + POSTINGS_BLOCK, len(pairs)) - 1] for k in cuts]
+        blocks, self.starts = np.unique(np.array(self.items) // ITEMS_BLOCK, return_index=True)
+        self.blocks, self.block_most = blocks, np.maximum.reduceat(self.weights, self.starts)
 
 
 class Index:
@@ -104,46 +105,47 @@ class Index:
     def search(self, found: set[bytes], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All items whose contributions of the found terms reach the threshold."""
         least, out = threshold - EPSILON, []
-        cursors = [[p.items[0], 0, p] for p in map(self.terms.get, sorted(found)) if p is not None]  # item, place, postings
-
-        def forward(c: list, item: int) -> bool:
-            """Move to the first posting at or after the item."""
-            c[1] = bisect_left(c[2].items, item, c[1])
-            if c[1] == len(c[2].items):
-                return False
-            c[0] = c[2].items[c[1]]
-            return True
+        lists = [p for p in map(self.terms.get, sorted(found)) if p is not None]
+        if not lists:
+            return out
+        bounds = np.bincount(np.concatenate([p.blocks for p in lists]), np.concatenate([p.block_most for p in lists]))
+        for block in np.nonzero(bounds >= least)[0].tolist():
+            out += self.within(block, lists, least)
+        return out
 
+    def within(self, block: int, lists: list[Postings], least: float) -> list[tuple[int, float]]:
+        """WAND over one block, with the block's greatest contributions."""
+        out, cursors = [], []  # a cursor: item, place, end, the block's greatest contribution, postings
+        for p in lists:
+            k = int(np.searchsorted(p.blocks, block))
+            if k < len(p.blocks) and p.blocks[k] == block:
+                start = int(p.starts[k])
+                end = int(p.starts[k + 1]) if k + 1 < len(p.starts) else len(p.items)
+                cursors.append([p.items[start], start, end, float(p.block_most[k]), p])
         while cursors:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, None
-            for k, c in enumerate(cursors):
-                bound += c[2].most
+            for c in cursors:
+                bound += c[3]
                 if bound >= least:
                     pivot = c[0]
                     break
             if pivot is None:
                 break
-            while k + 1 < len(cursors) and cursors[k + 1][0] == pivot:
-                k += 1
-            near, bound, jump = cursors[: k + 1], 0.0, cursors[k + 1][0] if k + 1 < len(cursors) else None
-            for _, place, p in near:
-                block = bisect_left(p.block_last, pivot, place // POSTINGS_BLOCK)
-                if block < len(p.block_last):
-                    bound += p.block_most[block]
-                    jump = p.block_last[block] + 1 if jump is None else min(jump, p.block_last[block] + 1)
-            if bound < least:  # no item before the first end of a block, or before the next list, can reach it
-                target = max(jump if jump is not None else pivot + 1, pivot + 1)
-                ended = [c for c in near if not forward(c, target)]
-            elif near[0][0] == pivot:
-                score = sum(p.weights[place] for _, place, p in near)
+            whole = cursors[0][0] == pivot
+            if whole:
+                score = sum(c[4].weights[c[1]] for c in cursors if c[0] == pivot)
                 if score >= least:
                     out.append((pivot, score))
-                ended = [c for c in near if not forward(c, pivot + 1)]
-            else:
-                ended = [c for c in near if c[0] < pivot and not forward(c, pivot)]
-            if ended:
-                cursors = [c for c in cursors if not any(c is e for e in ended)]
+            target, left = pivot + whole, []
+            for c in cursors:
+                if c[0] < target:
+                    c[1] = bisect_left(c[4].items, target, c[1], c[2])
+                    if c[1] == c[2]:
+                        continue
+                    c[0] = c[4].items[c[1]]
+                left.append(c)
+            cursors = left
         return out
 
     def hits(self, text: bytes) -> dict[int, tuple[float, float, float]]:
