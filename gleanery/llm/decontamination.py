@@ -61,9 +61,14 @@ def parted(text: bytes) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
-def grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    n = min(GRAM, len(words))
-    return set(zip(*(words[k:] for k in range(n)))) if n else set()
+def grams(words: list[bytes], n: int = GRAM) -> set[tuple[bytes, ...]]:
+    return set(zip(*(words[k:] for k in range(n))))
+
+
+def side(words: list[bytes]) -> tuple[int, set[tuple[bytes, ...]]]:
+    """The grams of an item's question or answer; shorter ones where it has fewer words."""
+    n = max(1, min(GRAM, len(words)))
+    return n, grams(words, n)
 
 
 class Postings:
@@ -100,7 +105,7 @@ class Index:
         self.terms = {t: Postings(p) for t, p in pairs.items()}
         self.most = {t: p.most for t, p in self.terms.items()}
         sides = [parted(t) for t in texts]
-        self.question, self.answer = [grams(q) for q, _ in sides], [grams(a) for _, a in sides]
+        self.question, self.answer = [side(q) for q, _ in sides], [side(a) for _, a in sides]
 
     def search(self, found: set[bytes], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
         """All items whose contributions of the found terms reach the threshold."""
@@ -161,10 +166,10 @@ class Index:
             if sum(bounds[k : k + 2]) < least:
                 continue
             for item, score in self.search(set().union(*blocks[k : k + 2])):
-                around = grams(words[max(0, (k - 1) * block) : (k + 3) * block])
-                q, a = (len(g & around) / len(g) if g else 0.0 for g in (self.question[item], self.answer[item]))
+                around = words[max(0, (k - 1) * block) : (k + 3) * block]
+                q, a = (len(g & grams(around, n)) / len(g) if g else 0.0 for n, g in (self.question[item], self.answer[item]))
                 if q >= OVERLAP and a >= OVERLAP:
-                    best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (score, q, a))
+                    best[item] = max(best.get(item, (0.0, 0.0, 0.0)), (round(score, 6), round(q, 6), round(a, 6)))
         return best
 
 

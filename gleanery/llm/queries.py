@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, masked_lm, pii, quality_model, quality_rules, quality_sql, sharding, simhash, substring_dedup, warc
+from . import bpe, decontamination, decontamination_sql, masked_lm, pii, quality_model, quality_rules, quality_sql, sharding, simhash, substring_dedup, warc
 from .shared import table, unsigned_hex
 
 
@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": decontamination_sql.OP2,
     "op4_quality_rules": quality_sql.OP4,
     "op8_warc_zstd": """
 SELECT page_id, payload_bytes, payload_digest,

@@ -1,8 +1,11 @@
 import random
 
+import duckdb
 import pytest
 
 from gleanery.llm import decontamination as d
+from gleanery.llm.decontamination_sql import OP2
+from gleanery.llm.queries import op2_decontamination
 
 
 def brute(index, found, threshold):
@@ -24,7 +27,7 @@ def test_wand_finds_what_brute_force_finds(threshold):
         found = set(skewed(rng.randrange(1, 120)).split())
         got = index.search(found, threshold)
         assert [k for k, _ in got] == brute(index, found, threshold)
-    whole = next(k for k, q in enumerate(index.question) if q)
+    whole = next(k for k, (_, q) in enumerate(index.question) if q)
     assert index.terms and any(k == whole for k, _ in index.search(set(index.terms), 1.0))
 
 
@@ -39,6 +42,21 @@ def test_documents(spark, sf):
     assert {r.doc_id for r in kept.collect()} == texts.keys() - {k for k, _ in exact} and kept.schema == docs.schema
 
 
+def test_same_as_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = sorted(map(tuple, op2_decontamination(spark, sf).collect()))
+    assert got == sorted(con.sql(OP2).fetchall()) and got
+
+
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "x alpha beta gamma delta y"), (2, "alpha"), (3, "delta gamma beta alpha")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    assert [r.doc_id for r in d.leaks(docs, bench).collect()] == [1]
+
+
 def test_several_indexes(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = {(r.doc_id, r.item_id) for r in d.leaks(docs, bench).collect()}
