@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -178,3 +180,38 @@ def glob_pattern(glob: str) -> str:
             out += {"*": "(?s:.*)", "?": "(?s:.)"}.get(c) or re.escape(c)
         k += 1
     return f"^{out}$"
+
+
+def normalized_line(line: Column) -> Column:
+    """NFKC without soft hyphens, with single spaces; Spark has no such function, so pandas does it."""
+
+    @F.pandas_udf("string")
+    def nfkc(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).replace("\u00ad", ""))
+
+    return F.trim(F.regexp_replace(nfkc(line), "[ \\t\u00a0]+", " "))
+
+
+def color_hex(value: Column) -> Column:
+    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(value.cast("long"))), 6, "0"))
+
+
+def duration_days(value: Column, default: int = 365) -> Column:
+    """Days of an ISO duration P<n>D."""
+    n = F.regexp_extract(value, "^P([0-9]+)D$", 1)
+    return F.when(F.length(n) > 0, n.try_cast("long")).otherwise(default)
+
+
+def tenant_name(prefix: str, team: Column, kind: Column, limit: int = 128) -> Column:
+    """A table name for a tenant: lower case, other characters as dashes, at most limit long."""
+    clean = F.trim(F.regexp_replace(F.lower(team), "[^a-z0-9-]+", "-"), F.lit("-"))
+    return F.substring(F.concat_ws("-", F.lit(prefix), clean, kind), 1, limit)
+
+
+def observation_line(t: Column, source: Column, text: Column) -> Column:
+    return F.concat(F.lit("[t"), t.cast("string"), F.lit("] "), source, F.lit(": "), text)
+
+
+def needs_ocr(native_chars: Column, coverage: Column, min_chars: int = 40, min_image: float = 0.3) -> Column:
+    """A page with little text and much image."""
+    return (native_chars < min_chars) & (coverage >= min_image)

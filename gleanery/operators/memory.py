@@ -84,3 +84,40 @@ def newest_of_families(documents: DataFrame, name: str) -> DataFrame:
     """Per family of names the one with the greatest digit groups, compared as text."""
     digits = F.regexp_extract_all(F.col(name), F.lit("[0-9]+"), 0)
     return documents.groupBy(X.family(F.col(name)).alias("family")).agg(F.max_by(name, F.struct(digits, F.col(name))).alias(name))
+
+
+def notes(rows: DataFrame, text: str, as_of: Column, ttl_days: int | None = 30) -> DataFrame:
+    """Notes as memories: personal data masked, entities found, and an expiry."""
+    clean = X.redacted(F.col(text))
+    expires = F.lit(None).cast("timestamp") if ttl_days is None else as_of.cast("timestamp") + F.make_dt_interval(F.lit(ttl_days))
+    return rows.select(
+        X.safe_key(F.concat(F.lit("note|"), clean)).alias("id"), F.lit("note").alias("kind"), clean.alias("text"), as_of.cast("timestamp").alias("created_at"), X.entities(clean).alias("entities"), expires.alias("expires_at"),
+    )
+
+
+def audited(op: str, details: DataFrame, as_of: Column) -> DataFrame:
+    """Audit rows for an operation: one for each row of details, with its columns as JSON."""
+    detail = F.to_json(F.struct(*details.columns), {"ignoreNullFields": "false"})
+    key = X.safe_key(F.concat_ws("|", F.lit("audit"), as_of.cast("string"), F.lit(op), detail))
+    return details.select(key.alias("id"), F.lit("audit").alias("kind"), F.concat_ws(" ", F.lit(op), detail).alias("text"), as_of.cast("timestamp").alias("created_at"), detail.alias("attributes"))
+
+
+def forgotten(tables: dict[str, DataFrame], names: DataFrame, column: str = "document") -> dict[str, DataFrame]:
+    """Each table without the rows of the named documents; audit rows stay."""
+    out = {}
+    for name, rows in tables.items():
+        kept = without(rows, names, column)
+        out[name] = kept.unionByName(rows.join(names, column, "left_semi").where("kind = 'audit'")) if "kind" in rows.columns else kept
+    return out
+
+
+def index_documents(chunks: DataFrame, dates: DataFrame) -> DataFrame:
+    """Chunks as index rows: safe key, the document's date, sorted entities."""
+    return chunks.join(dates, "document", "left").select(X.safe_key(F.col("id")).alias("id"), "text", "document", F.col("created_at"), X.entities(F.col("text")).alias("entities"))
+
+
+def item(rows: DataFrame) -> DataFrame:
+    """Search rows as memory items: the reranker's score before the plain one, and a citation."""
+    score = F.coalesce("reranker_score", "score", F.lit(0.0))
+    page = F.coalesce("page_start", "page")
+    return rows.select("id", "text", "document", page.alias("page"), score.alias("score"), X.citation(F.col("document"), page).alias("citation"))

@@ -189,3 +189,23 @@ def test_streams(spark, sf, tmp_path):
     assert n["kept"] == turns.where("text <> ''").count() and 0 < n["evicted"] < n["kept"]
 
 
+
+
+def test_documents_with_metadata(spark, tmp_path):
+    (tmp_path / "recall.txt").write_text("[[page 1]]\nThe bolts need 125 Nm.\n\nMore text.\n[[page 2]]\nEnd.")
+    (tmp_path / "plain.txt").write_text("No pages here.")
+    (tmp_path / "recall.metadata.json").write_text('{"source": {"file": "Recall 23V.pdf", "pdf_metadata": {"creationDate": "D:20230220000000"}}}')
+    (tmp_path / "broken.metadata.json").write_text("{")
+    got = {r.source: (r.document, r.created_at, r.source_format, r.page_start, r.page_end, r.id) for r in readers.text_documents(spark, str(tmp_path)).collect()}
+    assert got == {"recall.txt": ("Recall 23V.pdf", "2023-02-20", "pdf-text", 1, 2, "recall.txt#0.0"), "plain.txt": ("plain.pdf", None, "text", None, None, "plain.txt#0.0")}
+
+
+def test_governance(spark):
+    chunks = spark.createDataFrame([("a.pdf", 1), ("b.pdf", 2)], "document string, n int")
+    memories = spark.createDataFrame([("a.pdf", "fact"), ("a.pdf", "audit"), ("b.pdf", "fact")], "document string, kind string")
+    gone = memory.forgotten({"chunks": chunks, "memories": memories}, spark.createDataFrame([("a.pdf",)], "document string"))
+    assert gone["chunks"].count() == 1 and {tuple(r) for r in gone["memories"].collect()} == {("b.pdf", "fact"), ("a.pdf", "audit")}
+    audit = memory.audited("forget", spark.createDataFrame([("a.pdf", None)], "document string, removed int"), F.lit("2025-01-01 00:00:00")).first()
+    assert audit.kind == "audit" and audit.text == 'forget {"document":"a.pdf","removed":null}'
+    assert value(spark, X.normalized_line(F.lit("ﬁne\u00ad  x\u00a0y "))) == "fine x y"
+    assert [value(spark, X.duration_days(F.lit(v))) for v in ("P730D", "P1Y")] == [730, 365]
