@@ -28,13 +28,14 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .shared import prefixed
+from .shared import prefixed, small_batches
 
 LEAF, UNSPLIT, WINDOW, AGREE = 16384, 512, 64, 2
 CACHE_UNITS = 400_000
@@ -170,6 +171,12 @@ def parts(texts: list[bytes], limit: int = BATCH_BYTES) -> Iterator[list[bytes]]
         yield out
 
 
+def lists(ids: list[bytes]) -> pa.Array:
+    """Ids of several texts as an Arrow column."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.uint32).astype(np.int64)))
+
+
 def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = tuple(OUTPUTS), text: str = "text", leaf: int = LEAF) -> tuple[DataFrame, dict[str, str]]:
     """docs without the text but with the wanted ones of OUTPUTS, and the names these got.
 
@@ -186,7 +193,7 @@ def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = tuple(OUTPUTS
         hexed = lambda data: hashlib.sha256(data).hexdigest()
         made = {
             "n_tokens": lambda ids, _: len(ids) // 4, "ids_sha256": lambda ids, _: hexed(ids), "decoded_sha256": lambda _, plain: hexed(plain),
-            "ids": lambda ids, _: array("I", ids).tolist(), "decoded": lambda _, plain: plain.decode(),
+            "decoded": lambda _, plain: plain.decode(),
         }
         decodes = {"decoded", "decoded_sha256"} & set(outputs)
         for b in batches:
@@ -194,8 +201,8 @@ def encoded(docs: DataFrame, path: str, outputs: tuple[str, ...] = tuple(OUTPUTS
             done = 0
             for part in parts(texts):
                 rows = [(ids, codec.decode(ids) if decodes else b"") for ids in codec.encode(part)]
-                cols = [pa.array([made[o](*r) for r in rows], ARROW[o]) for o in outputs]
+                cols = [lists([r[0] for r in rows]) if o == "ids" else pa.array([made[o](*r) for r in rows], ARROW[o]) for o in outputs]
                 yield pa.RecordBatch.from_arrays([*(c.slice(done, len(part)) for c in b.columns[: len(rest)]), *cols], schema.names)
                 done += len(part)
 
-    return docs.select(*rest, text).mapInArrow(run, schema), names
+    return small_batches(docs).select(*rest, text).mapInArrow(run, schema), names

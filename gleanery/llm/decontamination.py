@@ -34,6 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, GRAM = 0.6, 0.5, 3
 MIN_BLOCK, MIN_ANSWER = 64, 5
@@ -189,7 +191,7 @@ def searcher(part: DataFrame) -> Callable[[], tuple[list, Index]]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified item."""
-    slim, out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), None
+    slim, out = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), None
     for part in parts(benchmark):
         index_of = searcher(part)
 
@@ -207,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs in which no item is found, in one pass without a shuffle for each part."""
-    at = docs.columns.index(text)
+    at = small_batches(docs).columns.index(text)
     for part in parts(benchmark):
         index_of = searcher(part)
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import small_batches, staged
 
 VOCAB, WINDOW, HIDDEN, CLASSES = 4096, 2, 24, 128
 STRIDE, ROUNDS, RATE, BATCH = 16, 2, 0.05, 512
@@ -207,7 +207,7 @@ def trained(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood and its mean for every row."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    slim = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counts = token_counts(slim)
     sent = slim.sparkSession.sparkContext.broadcast((trained(slim, counts).tobytes(), counts))
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import measure
-from .shared import staged
+from .shared import small_batches, staged
 
 GOOD, BAD, NONE = 0, 1, 2
 SAMPLE_ROWS = 12_000
@@ -292,7 +292,7 @@ def classified(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "
     Posteriors are the label models' for the document's votes alone, scores the linear scorers'.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    slim = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     gold = staged(gold_of(labels if labels is not None else spark.createDataFrame([], "doc_id long, quality int, toxic int")), "labels")
     *models, n = label_models(slim, gold)
     none = np.zeros((1 << BITS) + 1, np.float32)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import WHITESPACE, prefixed, staged
+from .shared import WHITESPACE, prefixed, small_batches, staged
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -99,7 +99,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[
             cols = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names.values()])
 
-    return docs.mapInArrow(run, schema), names
+    return small_batches(docs).mapInArrow(run, schema), names
 
 
 def bucket(value: Column) -> Column:

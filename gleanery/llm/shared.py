@@ -38,6 +38,16 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most 1000 rows and 4 MB or one row.
+
+    Texts pass to Python tasks in such batches; both the JVM and Python hold some at a time.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+    return df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file system, whatever store it is in."""
     try:

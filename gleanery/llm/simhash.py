@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import prefixed, staged
+from .shared import prefixed, small_batches, staged
 
 SEED, WIDTH, RADIUS = 42, 4, 4
 MAX_SHARD = 4096
@@ -70,7 +70,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", width: int = WIDTH) ->
             fps = [fingerprint(x.as_py() or b"", width) for x in pc.cast(batch.column(len(rest)), pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(fps, pa.int64())], [*rest, name])
 
-    return docs.select(*rest, text).mapInArrow(run, schema), name
+    return small_batches(docs).select(*rest, text).mapInArrow(run, schema), name
 
 
 class BKTree:
