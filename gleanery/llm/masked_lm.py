@@ -7,8 +7,8 @@ neighbouring frequency and about equal mass. A document's score is the sum over
 log p(token | both sides).
 
 Counts cover every token of all documents. The network is trained in numpy by each task on its
-own rows: in round r every STRIDE-th token of each document, from an offset that depends on the
-document and the round. Parameters are averaged between the rounds by the number of examples,
+own rows: in each of ROUNDS rounds every ROUNDS-th token of each document, from an offset that
+depends on the document and moves by one a round, so every token is predicted once. Parameters are averaged between the rounds by the number of examples,
 in fixed point, so their order does not matter. What is gathered is a set of parameters from
 each task, so it grows with the input; sums are taken in two steps, salted by task, so that no
 task adds up more than its share, and the model itself has a fixed size.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches, staged
 
 VOCAB, WINDOW, HIDDEN, CLASSES = 4096, 2, 24, 128
-STRIDE, ROUNDS, RATE, BATCH = 16, 2, 0.05, 512
+ROUNDS, RATE, BATCH = 2, 0.05, 512
 BLOCK, SALTS, UNIT = 8192, 32, 1 << 20
 CACHE_WORDS, TOKENS_AT_ONCE = 500_000, 1 << 14
 OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
@@ -111,15 +111,18 @@ class Network:
         grads = {"bias": back.sum(0), "out": hidden.T @ p, "out_bias": p.sum(0)}
         at = 0
         for k, shape in self.SHAPES.items():
-            size, part = int(np.prod(shape)), slice(at, at + int(np.prod(shape)))
-            seen = self.seen[part].reshape(shape)
+            size = int(np.prod(shape))
+            seen = self.seen[at : at + size].reshape(shape)
             if k == "vectors":
-                for o in range(2 * WINDOW):
-                    rows, where = np.unique(ctx[o], return_inverse=True)
-                    g = np.zeros((len(rows), HIDDEN), np.float32)
-                    np.add.at(g, where, back)
-                    seen[o][rows] += g * g
-                    self.vectors[o][rows] -= RATE * g / np.sqrt(seen[o][rows])
+                rows = (ctx + np.arange(2 * WINDOW)[:, None] * (VOCAB + 1)).ravel()
+                order = np.argsort(rows, kind="stable")
+                rows = rows[order]
+                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                g, rows = np.add.reduceat(back[order % len(classes)], first, axis=0), rows[first]
+                table, seen = self.vectors.reshape(-1, HIDDEN), seen.reshape(-1, HIDDEN)
+                new = seen[rows] + g * g
+                seen[rows] = new
+                table[rows] -= RATE * g / np.sqrt(new)
             else:
                 seen += grads[k] ** 2
                 getattr(self, k)[...] -= RATE * grads[k] / np.sqrt(seen)
@@ -131,6 +134,11 @@ def texts_of(batch: pa.RecordBatch, k: int = 0) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def targets(text: bytes, n: int, turn: int) -> np.ndarray:
+    """Which of a text's n tokens a round predicts; over all rounds each of them once."""
+    return np.arange((zlib.crc32(text[:64]) + turn) % ROUNDS, n, ROUNDS)
+
+
 def token_counts(docs: DataFrame) -> np.ndarray:
     """How often each token occurs in all documents."""
 
@@ -178,7 +186,7 @@ def trained(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
             for b in batches:
                 for text in texts_of(b):
                     t = tokens.of(text)
-                    at = np.arange((zlib.crc32(text[:64]) + turn * (STRIDE // ROUNDS)) % STRIDE, len(t), STRIDE)
+                    at = targets(text, len(t), turn)
                     if len(at):
                         wait.append((net.contexts(t)[:, at], of[t[at]]))
                         waiting += len(at)

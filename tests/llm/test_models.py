@@ -83,3 +83,10 @@ def test_brute_force_score(spark):
             z = np.tanh(h) @ net.out + net.out_bias
             total += z[of[t[i]]] - np.log(np.exp(z).sum()) + within[t[i]]
         assert abs(total - r.log_likelihood) < 1e-3
+
+
+def test_every_token_is_predicted_in_training():
+    for text in (b"one", b"one two", b"a b c d e f g " * 9, b"h" * 64 + b" x", b"h" * 64 + b" y z"):
+        n = len(text.split())
+        places = np.concatenate([masked_lm.targets(text, n, turn) for turn in range(masked_lm.ROUNDS)])
+        assert sorted(places) == list(range(n))
