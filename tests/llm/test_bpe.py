@@ -20,7 +20,7 @@ ALPHABET = "abcdeéèßİǅΣςτ'stremvlld0123 \n\t  !?.,;#*|<>ﬁ́中文
 
 
 def ids(codec, text):
-    return array("I", next(codec.encode([text.encode()]))).tolist()
+    return array("I", b"".join(next(codec.encode([text.encode()])))).tolist()
 
 
 def expected(text):
@@ -54,7 +54,7 @@ def test_special_tokens_and_decoding():
     text = "A <|endoftext|> b<|startoftext|>c"
     got = ids(TREE, text)
     assert got == expected(text) and 49407 in got
-    assert TREE.decode(array("I", got).tobytes()).decode() == LIBRARY.decode(got, skip_special_tokens=False)
+    assert TREE.decode(next(TREE.encode([text.encode()]))).decode() == LIBRARY.decode(got, skip_special_tokens=False)
 
 
 def test_table(spark):
@@ -68,3 +68,17 @@ def test_table(spark):
         assert r["_ids"] == expected(text) and r["n_tokens"] == len(r["_ids"])
         assert r["decoded"] == LIBRARY.decode(r["_ids"], skip_special_tokens=False)
     assert encoded(df.limit(0), PATH)[0].count() == 0
+
+
+SPACED = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=ALPHABET, max_size=1500))
+def test_a_tokenizer_whose_tokens_hold_white_space(text):
+    library, codec = Tokenizer.from_str(SPACED), Codec(SPACED, leaf=128, unsplit=32)
+    assert not codec.worded and TREE.worded
+    units = next(codec.encode([text.encode()]))
+    want = library.encode(text, add_special_tokens=False).ids
+    assert array("I", b"".join(units)).tolist() == want
+    assert codec.decode(units).decode() == library.decode(want, skip_special_tokens=False)
