@@ -4,9 +4,10 @@ Distinct fingerprints are dealt to shards so that any two within the radius shar
 64 bits are cut into blocks, and a pair that differs in r bits agrees on at least
 blocks - r of them, so every choice of that many blocks is one key. Each shard builds a BK-tree
 (children keyed by the Hamming distance to the parent) and each of its fingerprints follows only
-the edges within the radius. A tree never holds more than MAX_SHARD fingerprints: keys with
-more are cut again over the bits that their members may still differ in, which keeps every pair
-and ends because fingerprints are distinct. Trees are built in the tasks that hold their rows
+the edges within the radius. A tree holds about MAX_SHARD fingerprints at most: keys with more are
+cut again, and they alone, over the bits that their members may still differ in, which keeps every
+pair; what is still larger after DEPTH cuts is dealt to blocks, and each two blocks share a tree.
+Trees are built in the tasks that hold their rows
 and are not broadcast from the driver: they hold fingerprints of the whole corpus, which has no
 proven bound.
 
@@ -37,28 +38,41 @@ from pyspark.sql import types as T
 from .shared import prefixed, small_batches, staged
 
 SEED, WIDTH, RADIUS = 42, 4, 4
-MAX_SHARD = 4096
+MAX_SHARD, DEPTH = 4096, 3
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+HOT_SHARE = 1000
 FLUSH = 1 << 18  # shingles whose bits are summed at once
 
 
-def fingerprint(text: bytes, width: int = WIDTH) -> int:
-    """The SimHash as a signed long."""
+def shingles(text: bytes, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, FLUSH at a time."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return
     line = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words])
     n = max(1, len(words) - width + 1)
     stops = (ends[-n:] - 1).tolist()
     starts = [0, *ends[: n - 1].tolist()]
-    total, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for k in range(0, n, FLUSH):
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[k : k + FLUSH], stops[k : k + FLUSH])], np.uint64)
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(starts[k : k + FLUSH], stops[k : k + FLUSH])], np.uint64)
+
+
+def majority(parts: Iterator[np.ndarray]) -> int:
+    """As a signed long, the bits that are set in over half of the hashes."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in parts:
         total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * total > n).view(">i8")[0])
 
 
+def fingerprint(text: bytes, width: int = WIDTH) -> int:
+    """The SimHash as a signed long."""
+    return majority(shingles(text, width))
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", width: int = WIDTH) -> tuple[DataFrame, str]:
     """The table without its text and with a fingerprint, and that column's name."""
     rest = [c for c in docs.columns if c != text]
@@ -172,33 +186,33 @@ def _edges(radius: int):
     return run
 
 
-def linked(fps: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
+def linked(fps: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD, depth: int = DEPTH) -> DataFrame:
     """u, v: a forest for each shard of the distinct fingerprints in the column fp."""
     spark = fps.sparkSession
     full = 2**64 - 1
     masks = masks_of(full, radius, blocks_for(fps.count(), radius))
     level = fps.select("fp", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-    shards = []
-    while True:
-        over = level.groupBy("mask", "value").count().where(F.col("count") > max_shard).select("mask", "value")
-        wide = [m for m in masks if 2 ** (full & ~m).bit_count() > max_shard]
-        over = staged(over, "hot-shards") if wide else None
-        if over is None or over.isEmpty():
-            shards.append(level)
+    rows = None
+    for turn in range(depth + 1):
+        over = staged(level.groupBy("mask", "value").count().where(F.col("count") > max_shard), "hot-shards")
+        hot = [r.mask for r in over.select("mask").distinct().collect()]  # the first masks and, each turn, radius + 1 for each hot one
+        small = level.join(over.select("mask", "value"), ["mask", "value"], "left_anti").select("mask", "value", F.lit(0).cast("long").alias("part"), "fp") if hot else level.select("mask", "value", F.lit(0).cast("long").alias("part"), "fp")
+        rows = small if rows is None else rows.union(small)
+        if not hot:
             break
-        shards.append(level.join(over, ["mask", "value"], "left_anti"))
-        finer = {m: masks_of(full & ~m, radius, radius + 1) for m in masks}
-        split = spark.createDataFrame([(signed(m), signed(f)) for m, fs in finer.items() for f in fs], "mask long, finer long")
+        large = level.join(over, ["mask", "value"])
+        if turn == depth:  # blocks against blocks
+            n = F.ceil(F.col("count") * 2 / max_shard)
+            block = F.pmod(F.xxhash64("fp"), n)
+            other = large.withColumn("n", n).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).where("block <> other")
+            rows = rows.union(other.select("mask", "value", (F.least("block", "other") * F.col("n") + F.greatest("block", "other")).alias("part"), "fp"))
+            break
+        split = spark.createDataFrame([(m, signed(f)) for m in hot for f in masks_of(full & ~(m & full), radius, radius + 1)], "mask long, finer long")
         level = staged(
-            level.join(over, ["mask", "value"], "left_semi").join(F.broadcast(split), "mask")  # at most (radius + 1) ** depth rows
-            .select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("value")).distinct(), "hot-fingerprints",
+            large.join(F.broadcast(split), "mask").select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("value")).distinct(), "hot-fingerprints",
         )
-        masks = sorted({f for fs in finer.values() for f in fs})
-    rows = shards[0]
-    for s in shards[1:]:
-        rows = rows.unionByName(s)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.select("mask", "value", "fp").repartition(n, "mask", "value").sortWithinPartitions("mask", "value", F.col("fp")).mapInArrow(_edges(radius), "u long, v long")
+    return rows.repartition(n, "mask", "value", "part").sortWithinPartitions("mask", "value", "part", F.col("fp")).mapInArrow(_edges(radius), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,13 +243,27 @@ def clustered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
     prints, fp = with_fingerprint(slim, width=width)
     prints = staged(prints, "fingerprints")
-    nodes = staged(prints.groupBy(fp).agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    nodes = staged(prints.groupBy(fp).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     links = components(linked(nodes.select("fp"), radius))
     members = links.union(links.select("v", "v").distinct()).toDF("fp", "root")
     roots = members.join(nodes, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     of = members.join(roots, "root").select("fp", "root", "component_id")
-    nodes = nodes.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
-    return prints.join(nodes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    nodes = nodes.join(of, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return with_hot(prints, staged(nodes, "nodes"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def with_hot(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """rows joined with the one node of their key, of which n is the number of rows.
+
+    The keys of over 1/HOT_SHARE of the rows, fewer than HOT_SHARE by that, are broadcast, so their
+    rows stay where they are.
+    """
+    least = (nodes.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = F.broadcast(nodes.where(F.col("n") > least).drop("n")) if least else None
+    if hot is None:
+        return rows.join(nodes.drop("n"), key)
+    rest = rows.join(hot.select(key), key, "left_anti").join(nodes.where(F.col("n") <= least).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
