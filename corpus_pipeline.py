@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import bpe, decontamination, pii, quality_rules, simhash
+from gleanery.llm import bpe, decontamination, near_copies, pii, quality_rules
 from gleanery.llm.queries import tokenizer_path
 from gleanery.llm.shared import staged, table
 
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal fingerprints."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies, by fingerprints and sketches of five-word shingles."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

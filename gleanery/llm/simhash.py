@@ -264,20 +264,3 @@ def with_hot(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
         return rows.join(nodes.drop("n"), key)
     rest = rows.join(hot.select(key), key, "left_anti").join(nodes.where(F.col("n") <= least).drop("n"), key)
     return rows.join(hot, key).unionByName(rest)
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without all but one row of each component: that with the smallest id.
-
-    A null id is the largest. Only ids and hashes are compared; the texts meet the kept ids in a
-    semi-join.
-    """
-    rows = staged(clustered(docs, doc_id, text), "clusters")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x")
-    kept = staged(rows.groupBy("root").agg(first).select(F.col("x.doc_id").alias("__kept_id"), F.col("x.text_hash").alias("__kept_hash")), "kept")
-    same = F.col(doc_id).eqNullSafe(F.col("__kept_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__kept_hash"))
-    out = docs.join(kept, same, "left_semi")
-    if rows.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        return out
-    mark = prefixed(docs, "__hash")["__hash"]  # rows that repeat id and text
-    return out.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([doc_id, mark]).drop(mark)

@@ -9,8 +9,8 @@ from gleanery.llm import decontamination, quality_sql
 from gleanery.llm.queries import tokenizer_path
 from tokenizers import Tokenizer
 
+from .test_near_copies import plain_groups
 from .test_pii import replaced
-from .test_simhash import brute_classes, brute_print
 
 
 def test_run(spark, sf, monkeypatch):
@@ -23,7 +23,7 @@ def test_run(spark, sf, monkeypatch):
     good = {r[0] for r in con.sql(quality_sql.OP4).fetchall() if r[-1]}
     docs = {d: t for d, t in con.sql("SELECT doc_id, text FROM documents").fetchall() if d in good}
     ids = sorted(docs)
-    classes = brute_classes([brute_print(docs[d]) for d in ids], 4)
+    classes = plain_groups([docs[d] for d in ids])
     kept = [d for k, d in enumerate(ids) if classes[k] == k]  # ids ascend, so the root is the smallest
     fold = lambda t: b" " + b" ".join(decontamination.terms(t.encode())) + b" "
     items = [fold(t) for (t,) in con.sql(f"SELECT text FROM '{sf}/benchmark.parquet'").fetchall()]
