@@ -7,6 +7,7 @@ the folder that driver and executors share and rereads as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanery.llm import bpe, decontamination, near_copies, pii, quality_rules
 from gleanery.llm.queries import tokenizer_path
@@ -29,9 +30,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With personal data replaced; format-preserving, so n_chars still holds."""
-    out, n = pii.pseudonymised(docs)
-    return out.drop(n)
+    """With personal data replaced; addresses may change in length, and n_chars with them."""
+    out, n = pii.pseudonymised(docs, pii.key_of(spark))
+    return out.withColumn("n_chars", F.when(F.col(n) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).drop(n)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

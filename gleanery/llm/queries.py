@@ -44,7 +44,7 @@ def op6_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, n = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out, n = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark))
     return out.select("doc_id", "text", n)
 
 

@@ -5,7 +5,7 @@ from array import array
 
 import corpus_pipeline
 import duckdb
-from gleanery.llm import decontamination, quality_sql
+from gleanery.llm import decontamination, pii, quality_sql
 from gleanery.llm.queries import tokenizer_path
 from tokenizers import Tokenizer
 
@@ -14,10 +14,7 @@ from .test_pii import replaced
 
 
 def test_run(spark, sf, monkeypatch):
-    from gleanery.llm import pii
-
-    monkeypatch.setattr(pii, "KEY", "k")
-    monkeypatch.setattr(pii.pseudonymised, "__defaults__", ("k", "text"))
+    monkeypatch.setattr(pii, "key_of", lambda spark: "k")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     good = {r[0] for r in con.sql(quality_sql.OP4).fetchall() if r[-1]}
