@@ -20,6 +20,75 @@ def test_expectation_maximisation_finds_accuracies():
     assert all(abs((g + b) / 2 - a) < 0.05 for (g, b), a in zip(model.accuracy, truth))
 
 
+def plain_em(votes, golds, n):
+    """Posteriors of bad by EM over single documents, without patterns."""
+    start = {}
+    for v, g in zip(votes, golds):
+        if g != quality_model.NONE:
+            start.setdefault(v, []).append(g == quality_model.BAD)
+    bad = []
+    for v in votes:
+        up, down = v.count(quality_model.BAD), v.count(quality_model.GOOD)
+        majority = min(max((2 * up + 0.1) / (2 * up + down + 1), 0.01), 0.99)
+        seen = start.get(v, [])
+        bad.append((sum(seen) + 2 * majority) / (len(seen) + 2))
+    for _ in range(100):
+        table = [[[0.5] * 3 for _ in range(n)] for _ in range(2)]
+        for v, b in zip(votes, bad):
+            for k, x in enumerate(v):
+                table[0][k][x] += 1 - b
+                table[1][k][x] += b
+        prior = (sum(bad) + 1) / (len(bad) + 2)
+        new = []
+        for v in votes:
+            p = [1 - prior, prior]
+            for c in (0, 1):
+                for k, x in enumerate(v):
+                    p[c] *= table[c][k][x] / sum(table[c][k])
+            new.append(p[1] / (p[0] + p[1]))
+        moved, bad = max(abs(a - b) for a, b in zip(new, bad)), new
+        if moved < 1e-9:
+            break
+    return bad
+
+
+def test_posteriors_against_plain_em(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    given = {r.doc_id: r for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    code = lambda x, bad: quality_model.NONE if x is None else quality_model.BAD if x == bad else quality_model.GOOD
+    gold = {d: (code(given[d].quality, 0), code(given[d].toxic, 1)) if d in given else (quality_model.NONE,) * 2 for d in texts}
+    slim = docs.selectExpr("doc_id", "xxhash64(text) AS h", "text")
+    jury = quality_model.jury(slim, quality_model.gold_of(labels))
+    out = {r.doc_id: r for r in quality_model.classified(docs, labels).collect()}
+    ids = sorted(texts)
+    patterns = [jury.votes(quality_model.Facts.of(texts[d].encode())) for d in ids]
+    for k, (kinds, column) in enumerate(((quality_model.QUALITY, "quality_posterior"), (quality_model.TOXIC, "toxic_posterior"))):
+        want = plain_em([tuple(quality_model.ballots(p[k], len(kinds))) for p in patterns], [gold[d][k] for d in ids], len(kinds))
+        got = [1 - out[d].quality_posterior if k == 0 else out[d].toxic_posterior for d in ids]
+        assert np.abs(np.array(want) - got).max() < 1e-4
+
+
+def test_labels_do_not_train_the_scorer(spark, sf):
+    """With the same votes and posteriors, a document's own label changes nothing."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "xxhash64(text) AS h", "text")
+    votes = quality_model.voted(docs, quality_model.Jury())
+    models = quality_model.label_models(votes, quality_model.gold_of(spark.read.parquet(f"{sf}/labels.parquet")))
+    a = quality_model.scorers(docs, votes, *models)
+    b = quality_model.scorers(docs, votes, *models)
+    assert all(np.array_equal(x.weights, y.weights) for x, y in zip(a, b))  # no label is passed; the sample is the same again
+    assert np.abs(a[0].weights).sum() > 0
+
+
+def test_cutoffs():
+    rng = np.random.default_rng(2)
+    bad = rng.random(4000) < 0.2
+    x = np.where(bad, rng.normal(3, 1, 4000), rng.normal(0, 1, 4000))
+    low, high = quality_model.learned_cutoffs(x, bad, (None, None))
+    assert bad[x >= high].mean() >= quality_model.PRECISION and bad[x <= low].mean() <= 0.1 and low < high
+    assert quality_model.learned_cutoffs(x, np.zeros(4000, bool), (0.1, 0.2)) == (0.1, 0.2)
+
+
 def test_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
