@@ -61,6 +61,19 @@ INSULTS = frozenset(
 STRIP = b".,;:!?\"'()[]{}#*$%&|<>"
 
 
+class Kept(dict):
+    """What a function makes of each word, kept for words that come again."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: bytes):
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        out = self[word] = self.make(word)
+        return out
+
+
 @dataclass
 class Facts:
     """What labellers and features look at."""
@@ -75,11 +88,13 @@ class Facts:
     n_upper: int
     lowered: list[bytes] = field(default_factory=list)
     distinct: set[bytes] = field(default_factory=set)
+    heads: tuple[Counter, ...] = ()  # for each of PREFIXES the beginnings of longer words, with the number of these
 
     @classmethod
     def of(cls, text: bytes) -> "Facts":
         lowered = [w.strip(STRIP) for w in text.lower().split()]
-        return cls(text.split(), *measure(text), lowered, set(lowered))
+        distinct = set(lowered)
+        return cls(text.split(), *measure(text), lowered, distinct, tuple(Counter([w[:k] for w in distinct if len(w) > k]) for k in PREFIXES))
 
     def rates(self) -> tuple[tuple[str, float], ...]:
         n = max(self.n_words, 1)
@@ -100,8 +115,8 @@ class Telling:
     def rates(self, facts: Facts) -> tuple[float, float, float]:
         """How many of a text's distinct words each of the three knows, in proportion."""
         n = max(len(facts.distinct), 1)
-        a, b = PREFIXES
-        return len(facts.distinct & self.words) / n, sum(w[:a] in self.short for w in facts.distinct) / n if self.short else 0.0, sum(w[:b] in self.long for w in facts.distinct) / n if self.long else 0.0
+        known = (sum(map(heads.__getitem__, heads.keys() & told)) for heads, told in zip(facts.heads, (self.short, self.long)))
+        return len(facts.distinct & self.words) / n, *(k / n for k in known)
 
 
 Cutoffs = tuple[float | None, float | None]  # good up to the first, bad from the second on
@@ -117,7 +132,7 @@ def statistics(f: Facts, telling: tuple[Telling, Telling]) -> tuple[tuple[float,
     """What the labellers of both models look at."""
     r = dict(f.rates())
     bad_words, bad_short, _ = telling[0].rates(f)
-    n, insults = max(f.n_words, 1), sum(map(INSULTS.__contains__, f.lowered))
+    n, insults = max(f.n_words, 1), sum(map(INSULTS.__contains__, f.lowered)) if not INSULTS.isdisjoint(f.distinct) else 0
     quality = (
         r["symbols"], r["repeats"], r["dup_lines"], r["upper"], abs(r["word_length"] - 0.52), -r["function_words"], -log2(n), f.words.count(b"|") / n, bad_words, bad_short,
     )
@@ -160,40 +175,59 @@ def learned_cutoffs(x: np.ndarray, bad: np.ndarray, fixed: Cutoffs) -> Cutoffs:
     return float(values[clean[-1]]) if len(clean) else None, high
 
 
-def told(rows: list[tuple[Facts, bool]]) -> Telling:
-    """The words and beginnings whose share of documents in both classes differs by MIN_RATIO."""
-    out, n_bad = [], sum(b for _, b in rows)
-    for width in (None, *PREFIXES):
-        docs, bad = Counter(), Counter()
-        for f, b in rows:
-            found = f.distinct if width is None else {w[:width] for w in f.distinct if len(w) > width}
+class Seen:
+    """In how many documents, and bad ones, each word and each beginning is."""
+
+    def __init__(self):
+        self.total, self.n_bad, self.counts = 0, 0, [(Counter(), Counter()) for _ in range(1 + len(PREFIXES))]
+
+    def add(self, f: Facts, bad: bool) -> None:
+        self.total, self.n_bad = self.total + 1, self.n_bad + bad
+        for (docs, of_bad), found in zip(self.counts, (f.distinct, *map(list, f.heads))):
             docs.update(found)
-            if b:
-                bad.update(found)
-        good = len(rows) - n_bad
-        out.append(frozenset(w for w, k in bad.items() if docs[w] >= MIN_DOCS and log((k + 0.5) / (n_bad + 1)) - log((docs[w] - k + 0.5) / (good + 1)) >= MIN_RATIO))
+            if bad:
+                of_bad.update(found)
+
+
+def told(*parts: Seen) -> Telling:
+    """The words and beginnings whose share of documents in both classes differs by MIN_RATIO."""
+    n_bad, n_good = sum(p.n_bad for p in parts), sum(p.total - p.n_bad for p in parts)
+    out = []
+    for w in range(1 + len(PREFIXES)):
+        found = set()
+        for x in set().union(*(p.counts[w][1] for p in parts)):
+            docs, k = (sum(p.counts[w][c][x] for p in parts) for c in (0, 1))
+            if docs >= MIN_DOCS and log((k + 0.5) / (n_bad + 1)) - log((docs - k + 0.5) / (n_good + 1)) >= MIN_RATIO:
+                found.add(x)
+        out.append(frozenset(found))
     return Telling(*out)
 
 
-def jury_of(rows: list[tuple[Facts, int, int]]) -> Jury:
-    """Labellers from documents with their labels for quality and toxicity, of which either may be missing.
+def jury_of(rows: list[tuple[bytes, int, int]]) -> Jury:
+    """Labellers from texts with their labels for quality and toxicity, of which either may be missing.
 
-    Telling words for the cutoffs come from the other half of the documents, so their rates are those of unseen ones.
+    Telling words for the cutoffs come from the other half of the documents, so their rates are
+    those of unseen ones. Texts are measured twice, as the words of all of them take much memory.
     """
-    telling, cutoffs = [], []
+    halves = [[Seen(), Seen()] for _ in (QUALITY, TOXIC)]
+    for j, (text, *gold) in enumerate(rows):
+        facts = Facts.of(text)
+        for k, g in enumerate(gold):
+            if g != NONE:
+                halves[k][j % 2].add(facts, g == BAD)
+    other = [tuple(told(halves[k][1 - h]) for k in (0, 1)) for h in (0, 1)]
+    values, sizes = ([], []), []
+    for j, (text, *_) in enumerate(rows):
+        facts = Facts.of(text)
+        sizes.append(facts.n_words)
+        for of, v in zip(values, statistics(facts, other[j % 2])):
+            of.append(v)
+    cutoffs, n_words = [], np.array(sizes)
     for k, kinds in enumerate((QUALITY, TOXIC)):
-        known = [(f, gold[k] == BAD) for f, *gold in rows if gold[k] != NONE]
-        halves = [told(known[h::2]) for h in (0, 1)]
-        values, bad = [], np.array([b for _, b in known], bool)
-        for j, (f, _) in enumerate(known):
-            pair = [Telling(), Telling()]
-            pair[k] = halves[1 - j % 2]
-            values.append(statistics(f, tuple(pair))[k])
-        enough = np.array([f.n_words for f, _ in known])
-        table = np.array(values, float).reshape(len(known), len(kinds))
-        cutoffs.append(tuple(learned_cutoffs(table[enough >= least, c], bad[enough >= least], fixed) for c, (fixed, least) in enumerate(kinds)))
-        telling.append(told(known))
-    return Jury(tuple(telling), tuple(cutoffs))
+        gold, table = np.array([g[k] for _, *g in rows]), np.array(values[k], float)
+        use = [(gold != NONE) & (n_words >= least) for _, least in kinds]
+        cutoffs.append(tuple(learned_cutoffs(table[u, c], gold[u] == BAD, fixed) for c, (u, (fixed, _)) in enumerate(zip(use, kinds))))
+    return Jury(tuple(told(*h) for h in halves), tuple(cutoffs))
 
 
 def ballots(pattern: int, n: int) -> list[int]:
@@ -308,18 +342,15 @@ def trained(rows: list[tuple[np.ndarray, list[int], float, float]], mean: bool)
     return Scorer(w.astype(np.float32), mean)
 
 
-class Slots(dict):
-    """Word to slot, filled as words come."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        out = self[word] = slot(word)
-        return out
+def slots_of() -> tuple[Kept, Kept]:
+    """The slots of words and of beginnings, as they come."""
+    return Kept(slot), Kept(lambda head: slot(b"\x00" + head))
 
 
-def features(facts: Facts, slots: Slots) -> tuple[np.ndarray, list[int]]:
-    found = {*map(slots.__getitem__, facts.distinct), *(slots[b"\x00" + w[:k]] for w in facts.distinct for k in PREFIXES if len(w) > k)}
+def features(facts: Facts, slots: tuple[Kept, Kept]) -> tuple[np.ndarray, list[int]]:
+    """The distinct slots of a text's words and beginnings, and those of its shape."""
+    words, heads = (s.__getitem__ for s in slots)
+    found = set(map(words, facts.distinct)).union(*(map(heads, h) for h in facts.heads))
     return np.sort(np.fromiter(found, np.int64, len(found))), bins(facts)
 
 
@@ -352,7 +383,7 @@ def jury(docs: DataFrame, gold: DataFrame) -> Jury:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for b in batches:
-            rows += [(Facts.of(x.as_py() or b""), q, t) for x, q, t in zip(pc.cast(b.column(0), pa.binary()), b.column(1).to_pylist(), b.column(2).to_pylist())]
+            rows += [(x.as_py() or b"", q, t) for x, q, t in zip(pc.cast(b.column(0), pa.binary()), b.column(1).to_pylist(), b.column(2).to_pylist())]
         of = jury_of(rows)
         plain = [[[*map(sorted, (t.words, t.short, t.long))] for t in of.telling], of.cutoffs]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(plain)], pa.binary())], ["jury"])
@@ -370,8 +401,9 @@ def voted(docs: DataFrame, of: Jury) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = sent.value
         for b in batches:
-            rows = [of.votes(Facts.of(x.as_py() or b"")) for of in [sent.value] for x in pc.cast(b.column(3), pa.binary())]
+            rows = [of.votes(Facts.of(x.as_py() or b"")) for x in pc.cast(b.column(3), pa.binary())]
             if rows:
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, pa.int32()) for c in zip(*rows))], ["doc_id", "h", "size", "q", "t"])
 
@@ -410,7 +442,7 @@ def scorers(docs: DataFrame, votes: DataFrame, quality: LabelModel, toxic: Label
     sample = docs.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("drawn_id")) & (F.col("h") == F.col("drawn_h"))).dropDuplicates(["doc_id", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, data = Slots(), ([], [])
+        slots, data = slots_of(), ([], [])
         for b in batches:
             for x, q, t, w in zip(pc.cast(b.column(0), pa.binary()), *(c.to_pylist() for c in b.columns[1:])):
                 words, shape = features(Facts.of(x.as_py() or b""), slots)
@@ -441,7 +473,7 @@ def classified(docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, (post_q, prior_q, wq), (post_t, prior_t, wt) = sent.value
-        quality, toxic, slots = Scorer(np.frombuffer(wq, np.float32), True), Scorer(np.frombuffer(wt, np.float32), False), Slots()
+        quality, toxic, slots = Scorer(np.frombuffer(wq, np.float32), True), Scorer(np.frombuffer(wt, np.float32), False), slots_of()
         for b in batches:
             rows = []
             for x in pc.cast(b.column(1), pa.binary()):
