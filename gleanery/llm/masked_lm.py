@@ -6,9 +6,10 @@ class; within its class a token has its share of the corpus counts. Classes hold
 neighbouring frequency and about equal mass. A document's score is the sum over its tokens of
 log p(token | both sides).
 
-Counts cover every token of all documents. The network is trained in numpy by each task on its
+Each text becomes tokens once, which are written; all that follows reads those. Counts cover every
+token of all documents. The network is trained in numpy by each task on its
 own rows: in each of ROUNDS rounds every ROUNDS-th token of each document, from an offset that
-depends on the document and moves by one a round, so every token is predicted once. Parameters are averaged between the rounds by the number of examples,
+the document's tokens decide and that moves by one a round, so every token is predicted once. Parameters are averaged between the rounds by the number of examples,
 in fixed point, so their order does not matter. What is gathered is a set of parameters from
 each task, so it grows with the input; sums are taken in two steps, salted by task, so that no
 task adds up more than its share, and the model itself has a fixed size.
@@ -81,10 +82,12 @@ class Network:
         self.seen = np.full(self.flat.shape, 1e-3, np.float32)  # squared gradients
 
     @staticmethod
-    def contexts(tokens: np.ndarray) -> np.ndarray:
-        """The neighbours of each token: one row for each of OFFSETS."""
-        wide = np.concatenate([np.full(WINDOW, VOCAB, tokens.dtype), tokens, np.full(WINDOW, VOCAB, tokens.dtype)])
-        return np.stack([wide[WINDOW + o : WINDOW + o + len(tokens)] for o in OFFSETS])
+    def contexts(tokens: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The neighbours of the tokens at some places of texts that follow each other: one row for each of OFFSETS."""
+        place = np.arange(len(tokens)) + WINDOW * (np.repeat(np.arange(len(lengths)), lengths) + 1)
+        wide = np.full(len(tokens) + WINDOW * (len(lengths) + 1), VOCAB, np.int32)
+        wide[place] = tokens
+        return np.stack([wide[place[at] + o] for o in OFFSETS])
 
     def forward(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hidden = self.bias + self.vectors[0][ctx[0]]
@@ -115,7 +118,7 @@ class Network:
             seen = self.seen[at : at + size].reshape(shape)
             if k == "vectors":
                 rows = (ctx + np.arange(2 * WINDOW)[:, None] * (VOCAB + 1)).ravel()
-                order = np.argsort(rows, kind="stable")
+                order = np.argsort(rows.astype(np.uint16) if 2 * WINDOW * (VOCAB + 1) <= 1 << 16 else rows, kind="stable")  # 16 bits are sorted by radix
                 rows = rows[order]
                 first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
                 g, rows = np.add.reduceat(back[order % len(classes)], first, axis=0), rows[first]
@@ -129,28 +132,50 @@ class Network:
             at += size
 
 
-def texts_of(batch: pa.RecordBatch, k: int = 0) -> Iterator[bytes]:
-    for x in pc.cast(batch.column(k), pa.binary()):
-        yield x.as_py() or b""
+def tokenised(docs: DataFrame) -> DataFrame:
+    """doc_id and tokens, of 16 bits each, for every row of doc_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokens.of(x.as_py() or b"").astype("<u2").tobytes() for x in pc.cast(b.column(1), pa.binary())], pa.binary())], ["doc_id", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens binary")
+
+
+def pieces(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tokens of texts that follow each other, and the texts' lengths, about TOKENS_AT_ONCE together."""
+    held, size = [], 0
+    for x in batch.column(k):
+        held.append(np.frombuffer(x.as_py(), "<u2"))
+        size += len(held[-1])
+        if size >= TOKENS_AT_ONCE:
+            yield np.concatenate(held).astype(np.int32), np.array([len(h) for h in held])
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held).astype(np.int32), np.array([len(h) for h in held])
 
 
-def targets(text: bytes, n: int, turn: int) -> np.ndarray:
-    """Which of a text's n tokens a round predicts; over all rounds each of them once."""
-    return np.arange((zlib.crc32(text[:64]) + turn) % ROUNDS, n, ROUNDS)
+def targets(tokens: np.ndarray, lengths: np.ndarray, turn: int) -> np.ndarray:
+    """The places that a round predicts; over all rounds each once."""
+    starts = np.cumsum(lengths) - lengths
+    sums = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
+    offsets = (sums[starts + lengths] - sums[starts] + turn) % ROUNDS
+    return np.flatnonzero((np.arange(len(tokens)) - np.repeat(starts + offsets, lengths)) % ROUNDS == 0)
 
 
-def token_counts(docs: DataFrame) -> np.ndarray:
+def token_counts(rows: DataFrame) -> np.ndarray:
     """How often each token occurs in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total = Tokens(), np.zeros(VOCAB, np.int64)
+        total = np.zeros(VOCAB, np.int64)
         for b in batches:
-            for text in texts_of(b):
-                total += np.bincount(tokens.of(text), minlength=VOCAB)
+            for tokens, _ in pieces(b, 0):
+                total += np.bincount(tokens, minlength=VOCAB)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCAB, dtype=np.int32)), pa.array(total)], ["token", "n"])
 
     out = np.zeros(VOCAB, np.int64)
-    for r in docs.select("text").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():  # VOCAB rows
+    for r in rows.select("tokens").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():  # VOCAB rows
         out[r.token] = r.n
     return out
 
@@ -171,9 +196,9 @@ def summed(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "block int, salt int, n long, data binary")
 
 
-def trained(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
-    """The parameters after all rounds."""
-    spark = docs.sparkSession
+def trained(rows: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """The parameters after all rounds over the tokens."""
+    spark = rows.sparkSession
     of, _ = classes_of(counts)
     flat = Network().flat
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -181,69 +206,55 @@ def trained(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
         sent = spark.sparkContext.broadcast(flat.tobytes())
 
         def run(batches: Iterator[pa.RecordBatch], turn=turn, sent=sent) -> Iterator[pa.RecordBatch]:
-            net, tokens = Network(np.frombuffer(sent.value, np.float32)), Tokens()
-            wait, waiting, n = [], 0, 0
+            net, n = Network(np.frombuffer(sent.value, np.float32)), 0
+            ctx, cls = np.zeros((2 * WINDOW, 0), np.int32), np.zeros(0, np.int64)
             for b in batches:
-                for text in texts_of(b):
-                    t = tokens.of(text)
-                    at = targets(text, len(t), turn)
-                    if len(at):
-                        wait.append((net.contexts(t)[:, at], of[t[at]]))
-                        waiting += len(at)
-                    while waiting >= BATCH:
-                        ctx, cls = np.concatenate([w[0] for w in wait], 1), np.concatenate([w[1] for w in wait])
-                        for k in range(0, waiting - waiting % BATCH, BATCH):
-                            net.step(ctx[:, k : k + BATCH], cls[k : k + BATCH])
-                        n += waiting - waiting % BATCH
-                        wait, waiting = [(ctx[:, waiting - waiting % BATCH :], cls[waiting - waiting % BATCH :])], waiting % BATCH
-            if waiting:
-                net.step(np.concatenate([w[0] for w in wait], 1), np.concatenate([w[1] for w in wait]))
-                n += waiting
+                for tokens, lengths in pieces(b, 0):
+                    at = targets(tokens, lengths, turn)
+                    ctx, cls = np.concatenate([ctx, net.contexts(tokens, lengths, at)], 1), np.concatenate([cls, of[tokens[at]]])
+                    done = len(cls) - len(cls) % BATCH
+                    for k in range(0, done, BATCH):
+                        net.step(ctx[:, k : k + BATCH], cls[k : k + BATCH])
+                    n += done
+                    ctx, cls = ctx[:, done:], cls[done:]
+            if len(cls):
+                net.step(ctx, cls)
+                n += len(cls)
             if n:
                 fixed = np.rint(net.flat.astype(np.float64) * UNIT).astype(np.int64) * n
                 salt = TaskContext.get().partitionId() % SALTS
                 for k in range(0, len(fixed), BLOCK):
                     yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([salt], pa.int32()), pa.array([n], pa.int64()), pa.array([fixed[k : k + BLOCK].tobytes()], pa.binary())], ["block", "salt", "n", "data"])
 
-        parts = docs.select("text").mapInArrow(run, "block int, salt int, n long, data binary")
+        parts = rows.select("tokens").mapInArrow(run, "block int, salt int, n long, data binary")
         once = summed(parts.repartition(tasks, "block", "salt")).withColumn("salt", F.lit(0))
-        rows = sorted(staged(summed(once.repartition(tasks, "block")), "parameters").collect(), key=lambda r: r.block)  # the size of the model
-        if rows:
-            flat = np.concatenate([np.frombuffer(bytes(r.data), np.int64) / r.n / UNIT for r in rows]).astype(np.float32)
+        blocks = sorted(staged(summed(once.repartition(tasks, "block")), "parameters").collect(), key=lambda r: r.block)  # the size of the model
+        if blocks:
+            flat = np.concatenate([np.frombuffer(bytes(r.data), np.int64) / r.n / UNIT for r in blocks]).astype(np.float32)
     return flat
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood and its mean for every row."""
     slim = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    counts = token_counts(slim)
-    sent = slim.sparkSession.sparkContext.broadcast((trained(slim, counts).tobytes(), counts))
+    rows = staged(tokenised(slim), "tokens")
+    counts = token_counts(rows)
+    sent = slim.sparkSession.sparkContext.broadcast((trained(rows, counts).tobytes(), counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, counts = sent.value
-        net, tokens = Network(np.frombuffer(flat, np.float32)), Tokens()
+        net = Network(np.frombuffer(flat, np.float32))
         of, within = classes_of(counts)
         for b in batches:
-            rows, held, size = [], [], 0
-
-            def flush() -> list[tuple[int, float]]:
-                ctx = np.concatenate([net.contexts(t) for t in held], 1) if size else np.zeros((2 * WINDOW, 0), np.int32)
-                all_t = np.concatenate(held) if size else np.zeros(0, np.int32)
-                logs = np.concatenate([net.log_probs(ctx[:, k : k + TOKENS_AT_ONCE], of[all_t[k : k + TOKENS_AT_ONCE]]).astype(np.float64) for k in range(0, size, TOKENS_AT_ONCE)] or [np.zeros(0)]) + within[all_t]
-                sums = np.concatenate([[0.0], np.cumsum(logs)])
-                ends = np.cumsum([len(t) for t in held])
-                return [(len(t), float(sums[e] - sums[e - len(t)])) for t, e in zip(held, ends)]
-
-            for t in map(tokens.of, texts_of(b, 1)):
-                held.append(t)
-                size += len(t)
-                if size >= TOKENS_AT_ONCE:
-                    rows += flush()
-                    held, size = [], 0
-            rows += flush()
-            if rows:
-                n, s = zip(*rows)
-                cols = [pa.array(n, pa.int64()), pa.array([round(x, 4) for x in s]), pa.array([round(x / k, 6) if k else None for k, x in rows], pa.float64())]
+            out = []
+            for tokens, lengths in pieces(b, 1):
+                ctx, cls = net.contexts(tokens, lengths, np.arange(len(tokens))), of[tokens]
+                logs = np.concatenate([net.log_probs(ctx[:, k : k + TOKENS_AT_ONCE], cls[k : k + TOKENS_AT_ONCE]).astype(np.float64) for k in range(0, len(tokens), TOKENS_AT_ONCE)] or [np.zeros(0)]) + within[tokens]
+                sums, ends = np.concatenate([[0.0], np.cumsum(logs)]), np.cumsum(lengths)
+                out += zip(lengths.tolist(), (sums[ends] - sums[ends - lengths]).tolist())
+            if out:
+                n, s = zip(*out)
+                cols = [pa.array(n, pa.int64()), pa.array([round(x, 4) for x in s]), pa.array([round(x / k, 6) if k else None for k, x in out], pa.float64())]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return rows.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_likelihood double, mean_log_likelihood double")

@@ -138,8 +138,9 @@ def test_network_gradient():
 
 def test_brute_force_score(spark):
     df = spark.createDataFrame([(1, "The cat sat on the mat"), (2, "a b c d e f g a b c")] * 5, "doc_id long, text string")
-    counts = masked_lm.token_counts(df)
-    net = masked_lm.Network(masked_lm.trained(df, counts))
+    tokens = masked_lm.tokenised(df)
+    counts = masked_lm.token_counts(tokens)
+    net = masked_lm.Network(masked_lm.trained(tokens, counts))
     of, within = masked_lm.classes_of(counts)
     assert counts.sum() == 5 * 16
     for r in masked_lm.scored(df).collect():
@@ -155,7 +156,19 @@ def test_brute_force_score(spark):
 
 
 def test_every_token_is_predicted_in_training():
-    for text in (b"one", b"one two", b"a b c d e f g " * 9, b"h" * 64 + b" x", b"h" * 64 + b" y z"):
-        n = len(text.split())
-        places = np.concatenate([masked_lm.targets(text, n, turn) for turn in range(masked_lm.ROUNDS)])
-        assert sorted(places) == list(range(n))
+    rng = np.random.default_rng(4)
+    for lengths in ([1], [0, 3, 0], [5, 1, 64, 0, 7], []):
+        lengths = np.array(lengths, int)
+        tokens = rng.integers(0, masked_lm.VOCAB, lengths.sum()).astype(np.int32)
+        places = [masked_lm.targets(tokens, lengths, turn) for turn in range(masked_lm.ROUNDS)]
+        assert sorted(np.concatenate(places)) == list(range(len(tokens)))
+        own = [masked_lm.targets(t, np.array([len(t)]), 0) for t in np.split(tokens, np.cumsum(lengths)[:-1])] if len(lengths) else []
+        starts = np.cumsum(lengths) - lengths
+        assert sorted(np.concatenate([o + s for o, s in zip(own, starts)] or [[]])) == sorted(places[0])  # a document's places are its own
+
+
+def test_contexts_stay_within_a_text():
+    tokens, lengths = np.array([1, 2, 3, 4, 5, 6], np.int32), np.array([2, 0, 4])
+    pad = masked_lm.VOCAB
+    got = masked_lm.Network.contexts(tokens, lengths, np.array([0, 1, 2, 5]))
+    assert got.T.tolist() == [[pad, pad, 2, pad], [pad, 1, pad, pad], [pad, pad, 4, 5], [4, 5, pad, pad]]
