@@ -8,10 +8,15 @@ explode the terms they share with the corpus and join on the term.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
@@ -42,7 +47,8 @@ def bm25(docs: DataFrame, question: str, key: str, text: str = "text", drop_stop
     if not terms:
         return docs.withColumn("score", F.lit(0.0))
     words = docs.withColumn("__words", X.tokens(F.col(text)))
-    counts = words.withColumn("__n", F.size("__words")).withColumn("__tf", F.array(*(occurrences("__words", t) for t in terms))).drop("__words")
+    few = words.withColumn("__n", F.size("__words")).withColumn("__words", F.filter("__words", lambda w: w.isin(terms)))  # one pass over the words; the rest is over these
+    counts = few.withColumn("__tf", F.array(*(occurrences("__words", t) for t in terms))).drop("__words")
     df = [F.sum((F.col("__tf")[k] > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))]
     corpus = counts.agg(F.count("*").alias("n"), F.greatest(F.avg("__n"), F.lit(1.0)).alias("mean"), *df)  # one row
     scored = counts.crossJoin(F.broadcast(corpus))
@@ -81,6 +87,37 @@ def knn(vectors: DataFrame, query: list[float], embedding: str = "embedding") ->
     return vectors.withColumn("score", V.cosine(F.col(embedding), V.literal(query)))
 
 
+def nearest(vectors: DataFrame, query: list[float], k: int, key: str, embedding: str = "embedding") -> DataFrame:
+    """key and score of the k vectors nearest by cosine, ties by key.
+
+    A batch of vectors is one matrix product, of which only its own first k go on, with what equals the k-th. Null
+    vectors and those of another length are left out.
+    """
+    q = np.asarray(query, np.float64)
+    kind = vectors.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(lists), len(q)), False))
+            if not fits.all():
+                b = b.filter(pa.array(fits))
+                lists = b.column(1)
+            flat = lists.flatten()
+            if not len(b) or flat.null_count:
+                if not len(b):
+                    continue
+                flat = pc.fill_null(flat, float("nan"))
+            m = np.asarray(flat).reshape(len(b), len(q)).astype(np.float64, copy=False)
+            score = (m @ q) / np.maximum(np.sqrt(np.einsum("ij,ij->i", m, m)) * np.sqrt(q @ q), V.EPSILON)
+            use = ~np.isnan(score)
+            if len(score) > k and use.sum() > k:
+                use &= score >= np.partition(score[use], -k)[-k] - 1e-12
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(use)), pa.array(score[use])], [key, "score"])
+
+    return top(vectors.select(key, embedding).mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("score", T.DoubleType())])), k, key)
+
+
 def knn_binary(vectors: DataFrame, query: list[float], embedding: str = "embedding") -> DataFrame:
     """score by signs, exact by all bits."""
     v, q = F.col(embedding), V.literal(query)
@@ -136,11 +173,10 @@ def rolled_up(scored: DataFrame, document: str, key: str) -> DataFrame:
     span = F.col("__high") - F.col("__low")
     scaled = scored.crossJoin(F.broadcast(limits)).withColumn("scaled", F.when(span < 1e-9, 0.0).otherwise((F.col("score") - F.col("__low")) / span))
     each = scaled.join(F.broadcast(pool), F.col(key) == F.col("__pool"), "left")  # at most POOL rows
+    whole = each.groupBy(document).agg(F.max("scaled").alias("best"), F.count("__pool").alias("relevant_chunks"), F.count("*").alias("total_chunks"))
     place = F.row_number().over(Window.partitionBy(document).orderBy(F.desc("scaled"), key))
-    out = each.withColumn("__place", place).groupBy(document).agg(
-        F.max("scaled").alias("best"), F.avg(F.when(F.col("__place") <= TOP_MEAN, F.col("scaled"))).alias("top_mean"),
-        F.count("__pool").alias("relevant_chunks"), F.count("*").alias("total_chunks"),
-    )
+    first = scaled.select(document, key, "scaled").withColumn("__place", place).where(F.col("__place") <= TOP_MEAN)  # each task goes on with its own first three
+    out = whole.join(first.groupBy(F.col(document).alias("__document")).agg(F.avg("scaled").alias("top_mean")), F.col(document).eqNullSafe(F.col("__document"))).drop("__document")
     coverage = F.least(F.lit(1.0), F.col("relevant_chunks") / FULL_COVERAGE)
     w = DOCUMENT_WEIGHTS
     return out.withColumn("coverage", coverage).withColumn("score", w[0] * F.col("best") + w[1] * F.col("top_mean") + w[2] * coverage)

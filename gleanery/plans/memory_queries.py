@@ -253,10 +253,11 @@ def hit_mrr(spark, sf_dir):
     found = ranking.bm25_batch(d, b, "doc_id", "item_id").withColumn("score", F.round("score", 5))
     results = found.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")))
     # a document holds a question if it has its rarest word and then its text; no pair is formed without such a word
-    words = b.select("item_id", "question", F.explode(F.array_distinct(X.tokens(F.col("question")))).alias("w"))
-    df = d.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    rarest = words.join(df, "w").groupBy("item_id", "question").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
-    expected = d.select("doc_id", "text", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("w")).join(rarest, "w").where(F.contains("text", "question")).select("item_id", "doc_id")
+    words = b.select("item_id", F.explode(F.array_distinct(X.tokens(F.col("question")))).alias("w"))
+    holds = d.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("w")).join(words.select("w").distinct(), "w", "left_semi")
+    rarest = words.join(holds.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("item_id").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+    pairs = holds.join(rarest, "w").select("item_id", "doc_id")  # ids alone; texts come to these few
+    expected = pairs.join(b, "item_id").join(d, "doc_id").where(F.contains("text", "question")).select("item_id", "doc_id")
     return evaluation.judged(results, expected, "item_id", "doc_id", "rank", 5).select("questions", F.round("hit_at_k", 6).alias("hit_at_k"), F.round("mrr", 6).alias("mrr"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import filters, ranking
+from ..operators import filters, ranking, search
 from .catalog import query, table
 
 QUESTION = "the retitioning of erthe and onstion thatne with whand ander"
@@ -45,14 +45,14 @@ _COS = f"list_cosine_similarity(embedding::DOUBLE[], {_Q})"
 @query(f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
 def knn_exact(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ranking.top(ranking.knn(e, query_vector(spark, sf_dir)).select("vec_id", "score"), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    return ranking.nearest(e, query_vector(spark, sf_dir), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY {_COS} DESC, vec_id LIMIT 5")
 def knn_filtered(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     few = e.where(filters.odata(e, "label ge 1 and label le 3"))
-    return ranking.top(ranking.knn(few, query_vector(spark, sf_dir)).select("vec_id", "score"), 5, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    return ranking.nearest(few, query_vector(spark, sf_dir), 5, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH a AS (SELECT vec_id, {_COS} AS exact, list_inner_product(list_transform(embedding::DOUBLE[], lambda x: sign(x)::DOUBLE), list_transform({_Q}, lambda x: sign(x)::DOUBLE)) / 64 AS approx FROM embeddings),
@@ -158,3 +158,58 @@ def hash_embedding(spark, sf_dir):
     """Dense hashed vectors of all documents; the hash has no twin in the oracle's SQL."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return V.dense(V.hashed(d, "doc_id", "text", 64), "doc_id", 64)
+
+
+ASKED = QUESTION + " SRC3"
+_INDEX = f"""ix AS (SELECT d.doc_id AS id, d.text, d.lang, upper(d.source) AS tag, e.embedding::DOUBLE[] AS v, CASE WHEN d.doc_id % 9 <> 0 THEN (d.doc_id * 37 % 1500) END AS age FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.lang <> 'de'),
+  {bm25_sql(ASKED, True, 'ix', 'id')}, vec AS (SELECT id, list_cosine_similarity(v, {_Q}) AS score FROM ix ORDER BY score DESC, id LIMIT 20)"""
+_FRESH = "(1 + CASE WHEN age IS NULL THEN 0 ELSE greatest(0, 1 - age / 730) END + CASE WHEN tag = 'SRC3' THEN 2 ELSE 0 END)"
+
+
+def _fused(boost: str = "1") -> str:
+    return f"""kw AS (SELECT b.id, b.score * {boost} AS score FROM bm25 b JOIN ix USING (id) WHERE b.score > 0 ORDER BY score DESC, id LIMIT 50),
+  legs AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM kw UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM vec), f AS (SELECT id, sum(1.0 / (60 + r)) AS score FROM legs GROUP BY id)"""
+
+
+def index(spark, sf_dir):
+    """Documents that have a vector, as rows of an index."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    lang = table(spark, sf_dir, "documents").select("doc_id", "lang", F.array(F.upper("source")).alias("entities"))
+    return dated(spark, sf_dir).drop("tags").join(lang, "doc_id").join(e, "doc_id").withColumnRenamed("doc_id", "id")
+
+
+def searched(spark, sf_dir, mode):
+    out = search.search(index(spark, sf_dir), mode, ASKED, query_vector(spark, sf_dir), "lang ne 'de'", 20, as_of=F.lit(AS_OF))
+    return out.select("id", "rank", F.round("score", 6).alias("score"), F.round("reranker_score", 6).alias("reranker_score"))
+
+
+def _first(source: str) -> str:
+    return f"SELECT id, (row_number() OVER (ORDER BY score DESC, id))::INT AS rank, round(score, 6) AS score, NULL::DOUBLE AS reranker_score FROM {source} ORDER BY {source}.score DESC, id LIMIT 20"
+
+
+@query(f"WITH {_INDEX}, kw AS (SELECT * FROM bm25 WHERE score > 0) {_first('kw')}")
+def search_keyword(spark, sf_dir):
+    return searched(spark, sf_dir, "keyword")
+
+
+@query(f"WITH {_INDEX} {_first('vec')}")
+def search_vector(spark, sf_dir):
+    return searched(spark, sf_dir, "vector")
+
+
+@query(f"WITH {_INDEX}, {_fused()} {_first('f')}")
+def search_hybrid(spark, sf_dir):
+    return searched(spark, sf_dir, "hybrid")
+
+
+@query(f"WITH {_INDEX}, {_fused(_FRESH)} {_first('f')}")
+def search_fresh(spark, sf_dir):
+    return searched(spark, sf_dir, "fresh")
+
+
+@query(f"""WITH {_INDEX}, {_fused()}, pool AS (SELECT ix.id AS doc_id, ix.text, f.score FROM f JOIN ix USING (id) ORDER BY f.score DESC, id LIMIT 50),
+  again AS (WITH {bm25_sql(ASKED, True, 'pool')} SELECT * FROM bm25), m AS (SELECT doc_id AS id, pool.score AS base, again.score AS kw FROM pool JOIN again ON again.id = pool.doc_id),
+  z AS (SELECT id, 4 * (0.5 * (kw - min(kw) OVER ()) / (max(kw) OVER () - min(kw) OVER ()) + 0.5 * (base - min(base) OVER ()) / (max(base) OVER () - min(base) OVER ())) AS again FROM m)
+  SELECT id, (row_number() OVER (ORDER BY again DESC NULLS LAST, f.score DESC, id))::INT AS rank, round(f.score, 6) AS score, round(again, 6) AS reranker_score FROM f LEFT JOIN z USING (id) ORDER BY again DESC NULLS LAST, f.score DESC, id LIMIT 20""")
+def search_semantic(spark, sf_dir):
+    return searched(spark, sf_dir, "semantic")
