@@ -61,15 +61,11 @@ def recalled_facts(table: DataFrame, question: str, k: int = 5) -> DataFrame:
     return ranking.top(ranking.bm25(rows, question, "id").where("score > 0").select(*ITEM, "score"), k, "id")
 
 
-def recalled_paths(edges: DataFrame, question: str) -> DataFrame:
-    """ITEM for each path of two edges from an entity of the question."""
-    wanted = search.entities_of(question)
-    paths = [graph.two_hop(edges, e) for e in wanted]
-    if not paths:
-        return edges.sparkSession.createDataFrame([], "id string, kind string, text string, document string")
-    every = reduce(DataFrame.unionByName, paths)
-    text = F.concat_ws("; ", F.concat_ws(" ", "start", "first", "middle"), F.concat_ws(" ", "middle", "second", "end"))
-    return every.select(F.concat(F.lit("path:"), text).alias("id"), F.lit("graph").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("document")).distinct()
+def recalled_paths(edges: DataFrame, question: str, comention_edges: bool = True) -> DataFrame:
+    """ITEM and score for each path of two edges from an entity of the question."""
+    paths = graph.two_hops(edges, search.entities_of(question), comention_edges)
+    text = F.concat_ws("; ", F.concat_ws(" ", "src", "p1", "mid"), F.concat_ws(" ", "mid", "p2", "dst"))
+    return paths.select(F.concat(F.lit("path:"), text).alias("id"), F.lit("graph").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("document"), F.lit(1.0).alias("score")).distinct()
 
 
 def hybrid(question: str, sources: dict[str, DataFrame], budget: int = 1200) -> DataFrame:
@@ -97,7 +93,10 @@ def applied_lessons(lessons: DataFrame, task: str, known: DataFrame, name: str =
     now = F.lit(task)
     matching = lessons.where(memory.lesson_matches(F.col("trigger"), now))
     globs = matching.select(F.explode("prefer_documents").alias("glob")).distinct()
-    pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("glob"), r"([.+^$(){}|\\])", r"\\$1"), r"\*", "(?s:.*)"), r"\?", "(?s:.)"), F.lit("$"))
+    pattern = F.lower("glob")
+    for part, by in ((r"([.+^$(){}|\\])", r"\\$1"), (r"\[!", "[^"), (r"\?", "."), (r"\*", ".*")):
+        pattern = F.regexp_replace(pattern, part, by)
+    pattern = F.concat(F.lit("(?s)^"), pattern, F.lit("$"))
     found = known.select(name).distinct().join(F.broadcast(globs.select(pattern.alias("__glob"))), F.expr(f"rlike(lower({name}), __glob)"), "left_semi")  # as many globs as lessons that match
     latest = matching.agg(F.coalesce(F.bool_or("prefer_latest"), F.lit(False)).alias("__latest"))
     newest = memory.newest_of_families(found, name).select(F.col(name).alias("__newest"))
