@@ -81,3 +81,12 @@ def report(chunks: DataFrame, order: str, text: str = "text") -> DataFrame:
     short = F.length(text) < MIN_CHARS
     counts = chunks.agg(F.count("*").alias("input"), F.sum(short.cast("long")).alias("dropped_short"), F.countDistinct(F.when(~short, X.dedup_key(F.col(text)))).alias("kept"))
     return counts.select("input", "dropped_short", (F.col("input") - F.col("dropped_short") - F.col("kept")).alias("dropped_exact"), "kept")
+
+
+def full_report(chunks: DataFrame, order: str, text: str = "text", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """One row: input, dropped_short, dropped_exact, dropped_near, kept, reduction."""
+    exact = first_of_equal(long_enough(chunks, text), order, text)
+    kept = near_distinct(exact.select(order, embedding), order, embedding, threshold)
+    one = report(chunks, order, text).withColumnRenamed("kept", "__exact").crossJoin(kept.agg(F.count("*").alias("kept")))  # one row each
+    share = F.when(F.col("input") > 0, 1 - F.col("kept") / F.col("input")).otherwise(0.0)
+    return one.select("input", "dropped_short", "dropped_exact", (F.col("__exact") - F.col("kept")).alias("dropped_near"), "kept", F.round(share, 6).alias("reduction"))
