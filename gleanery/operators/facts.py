@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,3 +123,20 @@ def consolidated(facts: DataFrame, key: list[str], order: list[str]) -> DataFram
         F.lit(0).alias("adds"), F.lit(0).alias("updates"), F.lit(0).alias("noops"),
     )
     return facts.groupBy(*key).agg(arrivals.alias("a")).select(*key, F.aggregate("a", start, step).alias("s")).select(*key, "s.*")
+
+
+def folded(now: DataFrame, arrivals: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """A table that consolidated() made, after more arrivals: only its current rows and these are folded."""
+    state = ["object", "valid_from", "confidence"]
+    old = now.select(*key, *state, F.lit(0).alias("__new"), *(F.lit(None).cast(arrivals.schema[c].dataType).alias(c) for c in order))
+    out = consolidated(old.unionByName(arrivals.select(*key, *state, F.lit(1).alias("__new"), *order)), key, ["__new", *order])
+    before = now.select(*(F.col(k).alias(f"__{k}") for k in key), *(F.col(c).alias(f"__{c}") for c in ("history", "adds", "updates", "noops")))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    both = out.join(before, reduce(lambda a, b: a & b, same), "left")
+    more = lambda c: (F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c)
+    history = F.concat(F.coalesce("__history", F.array().cast("array<string>")), F.col("history")).alias("history")
+    return both.select(*key, *state, history, F.coalesce("__adds", "adds").alias("adds"), more("updates"), more("noops"))
+
+
+def fact_text(subject: Column, predicate: Column, obj: Column) -> Column:
+    return F.concat_ws(" ", subject, F.replace(predicate, F.lit("_"), F.lit(" ")), obj)

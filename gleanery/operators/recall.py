@@ -27,25 +27,22 @@ def route(question: str) -> list[str]:
     return ["facts", "semantic"] if has else ["semantic"]
 
 
-def stored(facts_now: DataFrame, arrivals: DataFrame, order: list[str]) -> DataFrame:
+def stored(table: DataFrame, arrivals: DataFrame, order: list[str]) -> DataFrame:
     """The table of facts after more facts arrive: one row for each key, folded in order.
 
-    Both have subject, predicate, object, valid_from, confidence and document; the table's
-    facts come before all arrivals, and its history stays.
+    Both have subject, predicate, object, valid_from, confidence and document; the table also has its
+    history. The names are those of a key's first fact, the document is that of its object.
     """
-    named = lambda t: t.withColumn("fact_key", facts.fact_key(F.col("subject"), F.col("predicate")))
-    old = named(facts_now).select("fact_key", "subject", "predicate", "document", "object", "valid_from", "confidence", F.lit(0).alias("__new"), *(F.lit(None).cast(arrivals.schema[c].dataType).alias(c) for c in order))
-    new = named(arrivals).select("fact_key", "subject", "predicate", "document", "object", "valid_from", "confidence", F.lit(1).alias("__new"), *order)
-    both = old.unionByName(new)
-    folded = facts.consolidated(both, ["fact_key"], ["__new", *order])
-    names = both.groupBy("fact_key").agg(F.min_by(F.struct("subject", "predicate"), F.struct("__new", *order)).alias("n"))
-    before = named(facts_now).select("fact_key", F.col("history").alias("__history")) if "history" in facts_now.columns else None
-    out = folded.join(names, "fact_key").select("fact_key", "n.subject", "n.predicate", "object", "valid_from", "confidence", "history")
-    documents = both.groupBy("fact_key", "object").agg(F.min_by("document", F.struct("__new", *order)).alias("document"))
-    out = out.join(documents, ["fact_key", "object"])
-    if before is None:
-        return out
-    return out.join(before, "fact_key", "left").withColumn("history", F.concat(F.coalesce("__history", F.array().cast("array<string>")), F.col("history"))).drop("__history")
+    counts = [F.lit(n).alias(c) for c, n in (("adds", 1), ("updates", 0), ("noops", 0))]
+    keyed = lambda t: t.withColumn("fact_key", facts.fact_key(F.col("subject"), F.col("predicate")))
+    old, new = keyed(table), keyed(arrivals)
+    out = facts.folded(old.select("*", *counts), new, ["fact_key"], order).drop("adds", "updates", "noops")
+    names = ["fact_key", "subject", "predicate", "object", "document"]
+    both = old.select(*names, F.lit(0).alias("__new"), *(F.lit(None).cast(new.schema[c].dataType).alias(c) for c in order)).unionByName(new.select(*names, F.lit(1).alias("__new"), *order))
+    place = F.struct("__new", *order)
+    first = both.groupBy("fact_key").agg(F.min_by(F.struct("subject", "predicate"), place).alias("n")).select("fact_key", "n.*")
+    documents = both.groupBy("fact_key", "object").agg(F.min_by("document", place).alias("document"))
+    return out.join(first, "fact_key").join(documents, ["fact_key", "object"])
 
 
 def recalled_facts(table: DataFrame, question: str, k: int = 5) -> DataFrame:
@@ -53,7 +50,7 @@ def recalled_facts(table: DataFrame, question: str, k: int = 5) -> DataFrame:
 
     Rows without a common word are left out, as in any keyword search.
     """
-    said = F.concat_ws(" ", "subject", "predicate", "object")
+    said = facts.fact_text(F.col("subject"), F.col("predicate"), F.col("object"))
     rows = table.select(F.concat(F.lit("fact|"), facts.fact_key(F.col("subject"), F.col("predicate"))).alias("id"), F.lit("fact").alias("kind"), said.alias("text"), "document", F.array_union(X.entities(said), F.array(X.normalized_entity(F.col("subject")))).alias("entities"))
     wanted = search.entities_of(question)
     if wanted:
@@ -139,3 +136,52 @@ def answered(items: DataFrame, question: str, key: str = "id", rank: str = "rank
     scored = each.withColumn("score", F.round(shared(X.content_words) + shared(X.entities) + numbers - F.col(rank) * 0.1, 6)).where("score > 0")
     best = scored.agg(F.max_by(F.struct("sentence", "citation", "score"), F.struct("score", (-F.col(rank)).alias("r"), (-F.col("at")).alias("a"))).alias("b"))
     return best.select(F.coalesce("b.sentence", F.lit("not found in the documents")).alias("answer"), F.col("b.citation").alias("citation"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+
+
+def items_json(items: DataFrame, key: str = "id") -> DataFrame:
+    """One row: the items as a JSON array, for tools that take text."""
+    return items.agg(F.to_json(F.array_sort(F.collect_list(F.struct("rank", key, "text", "citation")))).alias("items"))
+
+
+def run_pass(questions: DataFrame, lessons: DataFrame, known: DataFrame, ask, name: str = "document") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answer each question with the lessons so far; episodes, the lessons after it, and one row of success_rate.
+
+    questions has id, question and expected_documents, a reviewed set of a few rows that the
+    driver goes through, as each lesson counts for the next question. ask(question, documents) returns a
+    DataFrame with a citation, '<document> p.<page>' or a document's name; documents is None where no lesson applies.
+    """
+    spark = questions.sparkSession
+    episodes = []
+    for q in questions.orderBy("id").collect():
+        wanted = [r[0] for r in applied_lessons(lessons, q.question, known, name).orderBy(name).collect()]
+        cited = [r[0] for r in ask(q.question, wanted or None).select("citation").collect() if r[0]]
+        episode = spark.createDataFrame([(q.id, q.question, q.expected_documents, cited)], EPISODE).withColumn("success", succeeded(F.col("citations"), F.col("expected_documents")))
+        ok = episode.first().success
+        episodes.append((q.id, q.question, q.expected_documents, cited, ok))
+        if not ok:
+            lessons = spark.createDataFrame(lessons.unionByName(reflected(episode)).dropDuplicates(["trigger"]).collect(), LESSON)
+    done = spark.createDataFrame(episodes, EPISODE + ", success boolean")
+    return done, lessons, done.agg(F.coalesce(F.avg(F.col("success").cast("double")), F.lit(0.0)).alias("success_rate"))
+
+
+EPISODE = "id string, question string, expected_documents array<string>, citations array<string>"
+LESSON = "trigger array<string>, prefer_documents array<string>, prefer_latest boolean, evidence string"
+
+
+def succeeded(citations: Column, expected: Column) -> Column:
+    """Whether a cited document is an expected one, in any case."""
+    names = F.transform(citations, lambda c: F.lower(F.split(c, " p\\.")[0]))
+    return F.arrays_overlap(names, F.transform(expected, F.lower))
+
+
+def reflected(episodes: DataFrame) -> DataFrame:
+    """LESSON of each failed episode: its telling words, the families of the expected documents, and whether it asks for the newest."""
+    failed = episodes.where("NOT success")
+    families = F.array_sort(F.array_distinct(F.transform("expected_documents", X.family)))
+    latest = F.lower("question").rlike(r"\b(latest|most recent|current|newest|this year)\b")
+    return failed.select(memory.trigger(F.col("question")).alias("trigger"), families.alias("prefer_documents"), latest.alias("prefer_latest"), F.col("id").alias("evidence"))
+
+
+def lesson_text(trigger: Column, prefer_documents: Column, prefer_latest: Column) -> Column:
+    where = F.when(F.size(prefer_documents) > 0, F.array_join(prefer_documents, ", ")).otherwise("any document")
+    return F.concat(F.lit("For tasks about "), F.array_join(trigger, " "), F.lit(": look in "), where, F.when(prefer_latest, ", newest first").otherwise(""))

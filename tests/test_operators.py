@@ -177,14 +177,22 @@ def test_streams(spark, sf, tmp_path):
     assert spark.table("windows").selectExpr("sum(n)").first()[0] == events.count()
     facts_in = live.selectExpr("user_id", "event_type", "ts", "event_id", "cast(floor(value / 40) as string) AS object", "date_format(ts, 'yyyy-MM-dd') AS valid_from", "0.5D AS confidence")
     streams.fact_table(facts_in, str(tmp_path / "facts"), str(tmp_path / "cp"), ["user_id", "event_type"], ["ts", "event_id"]).awaitTermination()
-    got = streams.current_facts(spark, str(tmp_path / "facts"), ["user_id", "event_type"], ["ts", "event_id"])
+    key, order = ["user_id", "event_type"], ["ts", "event_id"]
+    got = streams.current_facts(spark, str(tmp_path / "facts"))
     assert got.count() == events.select("user_id", "event_type").distinct().count()
+    # a later batch is folded into the table, as if all had come together
+    late = events.selectExpr("event_id + 1000000 AS event_id", "ts + interval 900 days AS ts", "user_id", "event_type", "value + 100 AS value", "props").where("event_id % 3 = 0")
+    late.repartition(1).write.mode("append").parquet(str(tmp_path / "events"))
+    streams.fact_table(facts_in, str(tmp_path / "facts"), str(tmp_path / "cp"), key, order).awaitTermination()
+    every = spark.read.schema(events.schema).parquet(str(tmp_path / "events")).selectExpr("user_id", "event_type", "ts", "event_id", "cast(floor(value / 40) as string) AS object", "date_format(ts, 'yyyy-MM-dd') AS valid_from", "0.5D AS confidence")
+    whole = {tuple(r) for r in facts.consolidated(every, key, order).selectExpr(*key, "object", "valid_from", "cast(history as string)", "adds", "updates", "noops").collect()}
+    now = {tuple(r) for r in streams.current_facts(spark, str(tmp_path / "facts")).selectExpr(*key, "object", "valid_from", "cast(history as string)", "adds", "updates", "noops").collect()}
+    assert now == whole and streams.versions(spark, str(tmp_path / "facts"))[-1] >= 1
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     turns.write.parquet(str(tmp_path / "turns"))
     live = streams.new_files(spark, str(tmp_path / "turns"), "conv_id long, turn long, role string, text string")
-    q = streams.observation_log(live, 100).writeStream.format("memory").queryName("log").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = streams.observation_log(live, 100).writeStream.format("memory").queryName("log").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
     n = {r.action: r["count"] for r in spark.table("log").groupBy("action").count().collect()}
     assert n["kept"] == turns.where("text <> ''").count() and 0 < n["evicted"] < n["kept"]
 

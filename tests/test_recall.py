@@ -121,3 +121,20 @@ def test_paths(spark):
     out = recall.recalled_paths(edges, "parts for 23V083").collect()
     assert [r.text for r in out] == ["23V083 affects LT300; LT300 ~fits 123456"]
     assert recall.recalled_paths(edges, "no entity").count() == 0
+
+
+def test_two_passes_learn(spark):
+    known = spark.createDataFrame([("report-2024.pdf",), ("report-2025.pdf",), ("manual.pdf",)], "document string")
+    questions = spark.createDataFrame([("q1", "What is the most recent emissions value?", ["Report-2025.pdf"]), ("q2", "What is the current emissions total value?", ["report-2025.pdf"])], "id string, question string, expected_documents array<string>")
+
+    def ask(question, documents):
+        return spark.createDataFrame([((documents or ["manual.pdf"])[0] + " p.1",)], "citation string")
+
+    none = spark.createDataFrame([], recall.LESSON)
+    first, lessons, rate = recall.run_pass(questions.where("id = 'q1'"), none, known, ask)
+    assert rate.first().success_rate == 0.0 and lessons.first().prefer_documents == ["Report-*.pdf"] and lessons.first().prefer_latest
+    episodes, _, rate = recall.run_pass(questions, lessons, known, ask)
+    assert rate.first().success_rate == 1.0 and {r.citations[0] for r in episodes.collect()} == {"report-2025.pdf p.1"}
+    text = lessons.select(recall.lesson_text(F.col("trigger"), F.col("prefer_documents"), F.col("prefer_latest"))).first()[0]
+    assert text == "For tasks about emissions value: look in Report-*.pdf, newest first"
+    assert recall.items_json(spark.createDataFrame([(1, "a", "t", "c")], "rank int, id string, text string, citation string")).first().items.startswith('[{"rank":1')
