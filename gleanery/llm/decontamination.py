@@ -15,7 +15,9 @@ three-grams with the words around the passage. An item has one text; its answer
 sentence or line if that has MIN_ANSWER words, else its last third.
 
 The items are sent to the tasks; more than PART_BYTES of them are dealt to several indexes by
-id, and documents pass through one after the other. BM25's statistics are those of an index.
+id, and documents pass through one after the other, each index leaving the driver and the tasks
+before the next one comes. BM25's statistics and the passage length are those of all items, so results do not depend
+on the number of indexes.
 
 Cases. Null or empty text of a document: no passage. Null or empty items: never found. Items
 with equal texts are all found. Repeated rows are searched each. No items: nothing is found.
@@ -26,15 +28,19 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import small_batches
+from .shared import small_batches, staged
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, GRAM = 0.6, 0.5, 3
@@ -85,18 +91,31 @@ class Postings:
         self.blocks, self.block_most = blocks, np.maximum.reduceat(self.weights, self.starts)
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: their number, words, the longest, and in how many a term is."""
+
+    n: int
+    words: int
+    longest: int
+    df: dict[bytes, int]
+
+    @classmethod
+    def of(cls, counts: list[Counter]) -> "Statistics":
+        lengths = [n for c in counts if (n := sum(c.values()))]
+        return cls(len(lengths), sum(lengths), max(lengths, default=0), Counter(t for c in counts for t in c))
+
+
 class Index:
     """Items are known by their places in the given list."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], known: "Statistics | None" = None):
         counts = [Counter(terms(t)) for t in texts]
         lengths = [sum(c.values()) for c in counts]
-        filled = [n for n in lengths if n]
-        self.longest = max(filled, default=0)
-        mean = sum(filled) / len(filled) if filled else 1
-        df = Counter(t for c in counts for t in c)
+        known = known or Statistics.of(counts)
+        self.longest, mean, df = known.longest, known.words / max(known.n, 1), known.df
         raw = [
-            {t: log(1 + (len(filled) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean)) for t, n in c.items()}
+            {t: log(1 + (known.n - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean)) for t, n in c.items()}
             for c, length in zip(counts, lengths)
         ]
         pairs: dict[bytes, list[tuple[int, float]]] = {}
@@ -182,36 +201,71 @@ def parts(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", li
     return [items] if n <= 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
 
 
-def searcher(part: DataFrame) -> Callable[[], tuple[list, Index]]:
-    """Sends the items of a part, bounded by PART_BYTES; what it returns builds their index in a task."""
-    rows = sorted(((r.item_id, r.text.encode()) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    sent = part.sparkSession.sparkContext.broadcast(rows)
-    return lambda: ([r[0] for r in sent.value], Index([r[1] for r in sent.value]))
+def counted(items: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
+    """term and df over all items; the number of items with words, of their words, and of those of the longest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in pc.cast(b.column(0), pa.binary()):
+                words = terms(x.as_py())
+                if words:
+                    distinct = list(set(words))
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *distinct], pa.binary()), pa.array([len(words), *[0] * len(distinct)], pa.int64())], ["term", "length"])
+
+    rows = staged(items.select("text").mapInArrow(run, "term binary, length long"), "item-terms")
+    r = rows.where("term IS NULL").agg(F.count("*").alias("n"), F.sum("length").alias("words"), F.max("length").alias("longest")).first()
+    return rows.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")), (r.n, r.words or 0, r.longest or 0)
+
+
+def searcher(part: DataFrame, df: DataFrame | None = None, sizes: tuple[int, int, int] = (0, 0, 0)) -> tuple[Callable[[], tuple[list, Index]], Broadcast]:
+    """Sends the items of a part, bounded by PART_BYTES, with the statistics of all; what it returns builds their index in a task."""
+    rows = sorted(((r.item_id, r.text.encode()) for r in part.collect()), key=lambda r: (r[0] is None, str(type(r[0])), r[0] or 0, r[1]))
+    known = None
+    if df is not None:
+        spark = part.sparkSession
+        own = spark.createDataFrame([(bytearray(t),) for t in {t for _, text in rows for t in terms(text)}], "term binary")
+        known = Statistics(*sizes, {bytes(r.term): r.df for r in df.join(own, "term").collect()})  # the terms of this part
+    sent = part.sparkSession.sparkContext.broadcast((rows, known))
+    return lambda: ([r[0] for r in sent.value[0]], Index([r[1] for r in sent.value[0]], sent.value[1])), sent
+
+
+def each_index(benchmark: DataFrame) -> Iterator[tuple[Callable[[], tuple[list, Index]], bool]]:
+    """What builds each index in a task, and whether it is the only one; the one before leaves all memories."""
+    every = parts(benchmark)
+    if len(every) == 1:
+        yield searcher(every[0])[0], True
+        return
+    df, sizes = counted(benchmark.select(F.col("text")).where("text IS NOT NULL"))
+    for part in every:
+        index_of, sent = searcher(part, df, sizes)
+        yield index_of, False
+        sent.destroy()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap of every verified item."""
+    """doc_id, item_id, score, question_overlap, answer_overlap of every verified item; ids keep their types."""
     slim, out = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), None
-    for part in parts(benchmark):
-        index_of = searcher(part)
+    kinds = T.StructType([slim.schema["doc_id"], benchmark.schema["item_id"], *(T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap"))])
+    arrow = to_arrow_schema(kinds)
+    for index_of, only in each_index(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index_of=index_of) -> Iterator[pa.RecordBatch]:
             ids, index = index_of()
             for b in batches:
                 rows = [(d, ids[k], *v) for d, t in zip(b.column(0).to_pylist(), pc.cast(b.column(1), pa.binary())) for k, v in sorted(index.hits(t.as_py() or b"").items())]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], arrow.names)
 
-        found = slim.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        found = slim.mapInArrow(run, kinds)
+        found = found if only else staged(found, "leaks")
         out = found if out is None else out.union(found)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs in which no item is found, in one pass without a shuffle for each part."""
+    """The rows of docs in which no item is found, in one pass without a shuffle for each index."""
     at = small_batches(docs).columns.index(text)
-    for part in parts(benchmark):
-        index_of = searcher(part)
+    for index_of, only in each_index(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index_of=index_of) -> Iterator[pa.RecordBatch]:
             _, index = index_of()
@@ -219,4 +273,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
                 yield b.filter(pa.array([not index.hits(t.as_py() or b"") for t in pc.cast(b.column(at), pa.binary())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = docs if only else staged(docs, "clean")
     return docs

@@ -84,3 +84,22 @@ def test_edges(spark):
     assert got == sorted(want, key=repr)
     assert sorted(r.score for r in d.clean(docs, bench).collect()) == ["c", "d", "e", "g"]
     assert d.leaks(docs, bench.limit(0)).count() == 0 and d.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_results_do_not_depend_on_the_number_of_indexes(spark, sf):
+    """Scores, borderline items and passages too, for items of very different lengths; and ids that are strings."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("concat('d', doc_id) AS doc_id", "text")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("concat('i', item_id) AS item_id", "text")
+    texts = [r.text.split() for r in bench.limit(6).collect()]
+    partly = [(f"p{k}", " ".join(w[: 3 * len(w) // 4]) + " other words here") for k, w in enumerate(texts)]
+    docs = docs.union(spark.createDataFrame(partly, "doc_id string, text string"))
+    bench = bench.union(spark.createDataFrame([("long", " ".join(sum(texts, [])))], "item_id string, text string"))
+    whole = sorted(map(tuple, d.leaks(docs, bench).collect()))
+    kept = sorted(r.doc_id for r in d.clean(docs, bench).collect())
+    real, d.parts = d.parts, lambda b: real(b, limit=2000)
+    try:
+        assert len(d.parts(bench)) > 2
+        assert sorted(map(tuple, d.leaks(docs, bench).collect())) == whole and whole
+        assert sorted(r.doc_id for r in d.clean(docs, bench).collect()) == kept
+    finally:
+        d.parts = real
