@@ -38,8 +38,10 @@ ROUNDS = 8
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, h, k, size, text_crc32: what is needed to place a record, without its text."""
     t = F.coalesce(F.col(text), F.lit(""))
+    whole = isinstance(docs.schema[doc_id].dataType, T.IntegralType)
+    k = F.col(doc_id).cast("long") if whole else F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id))  # ids of other types by their hash
     return docs.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("h"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("k"),
+        F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("h"), F.coalesce(k, F.lit(LOWEST)).alias("k"),
         (F.octet_length(t).cast("long") + RECORD_BYTES).alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
     )
 

@@ -54,3 +54,11 @@ def test_written_shards(spark, sf, tmp_path):
     want = {(r.doc_id, r.shard) for r in sharding.sharded(docs).collect()}
     assert {(r.doc_id, r._shard) for r in back.collect()} == want
     assert sorted(back.select(*docs.columns).collect()) == sorted(docs.collect())
+
+
+def test_ids_that_are_strings(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("concat('d', doc_id) AS doc_id", "text")
+    out = sharding.sharded(docs).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in docs.collect())
+    for shard in range(sharding.SHARDS):
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
