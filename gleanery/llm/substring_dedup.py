@@ -4,14 +4,16 @@
    each other member to it. What follows sees representatives alone.
 2. A seed is the hash of SEED_WORDS words; of every WINDOW seeds in a row the smallest is taken,
    so any shared run of SEED_WORDS + WINDOW - 1 words shares a seed.
-3. Seeds meet by hash. A seed of many documents does not make all their pairs: each occurrence is
-   joined with three anchors of its hash, those with the smallest and the largest id and the one
-   of smallest hashed id, found by aggregation. That is linear in the occurrences. Anchors differ
-   from seed to seed, so places of shared seeds also meet by the RUN words from them: up to three
-   places of such a run make all their pairs, and of more those with the same MIN_WORDS words are
-   each joined with the first. So of every MIN_WORDS equal words each place has a common partner.
-   All places of a seed count: the n-th in a document meets the n-th in another, and the last one
-   that is MIN_WORDS before it in its own, so rows also link places of one document.
+3. Seeds meet by hash. A seed of up to FEW places makes all their pairs. Places of shared seeds also
+   meet by the RUN words from them: up to three places of such a run make all their pairs, and of
+   more those with the same MIN_WORDS words are one class: each is joined with the first. So of
+   every MIN_WORDS equal words each place has a common partner, and members of a class are left
+   out of what follows. Places of more frequent seeds meet by two of them, NEAR to FAR words from
+   one another: up to FEW places of such a pair make all their pairs, and of more each is joined
+   with the first, which represents the documents that prove to have a passage in common with it;
+   each other document is joined with all. So documents with a chain are linked, or both are
+   linked with one that represents them. In a document a place of a frequent seed, and one of
+   equal words, meets the last one that is MIN_WORDS before it.
 4. The matches of two documents are chained: a chain's score is SEED_WORDS a seed less GAP a
    word skipped on either side, and a Fenwick tree over the second document's places has the
    best chain that ends before a match.
@@ -31,8 +33,9 @@ copies of each other. Empty table: empty result.
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,8 @@ SEED_WORDS, WINDOW = 6, 10
 GAP, MIN_CHAIN = 0.15, 26
 MIN_WORDS, MIN_IDENTITY = 50, 0.8
 RUN = MIN_WORDS - WINDOW + 1  # a shared run of MIN_WORDS words has a seed with RUN of them from its place
+FEW = 16  # a seed of up to so many places makes all their pairs
+NEAR, FAR = MIN_CHAIN - SEED_WORDS, 45  # words between two seeds that meet together
 MARGIN, SNAP, MAX_GAP, LOOK = 48, 64, 80, 6
 LARGEST = 2**63 - 1
 CACHE_WORDS = 500_000
@@ -74,85 +79,95 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def runs_at(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of width words from each place."""
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), MULTIPLIER)]))
-        undo = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), np.uint64(pow(int(MULTIPLIER), -1, 1 << 64)))]))
-        upto = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[:-1])])
-        return mixed((upto[at + width] - upto[at]) * undo[at])
-
-
-def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of the seed at each place, and for each WINDOW of seeds the place of the smallest."""
-    n = len(hashes) - SEED_WORDS + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(SEED_WORDS):
-            h = (h ^ hashes[k : n + k]) * MULTIPLIER
-            h ^= h >> np.uint64(29)
-    if n <= WINDOW:
-        return h, np.array([int(h.argmin())])
-    return h, np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(1) + np.arange(n - WINDOW + 1)
-
-
-def ranks(h: np.ndarray) -> np.ndarray:
-    """How many equal values come before each."""
-    order = np.argsort(h, kind="stable")
-    s, k = h[order], np.arange(len(h))
-    out = np.empty(len(h), np.int32)
-    out[order] = k - np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]]), k, 0)) if len(h) else 0
-    return out
-
-
-def earlier(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each value its last place that is MIN_WORDS or more before, or -1; places ascend."""
-    out = np.full(len(h), -1, np.int32)
-    order = np.argsort(h, kind="stable")
-    for one in np.split(order, np.flatnonzero(np.diff(h[order]) != 0) + 1):
-        if len(one) > 1:
-            k = np.searchsorted(at[one], at[one] - MIN_WORDS, "right") - 1
-            out[one] = np.where(k < 0, -1, at[one][k])
-    return out
+class Words:
+    """The texts of a batch as one array of word hashes, with WINDOW empty places after each text."""
+
+    def __init__(self, texts: Iterable[bytes | None], known: Hashes):
+        split = [words_of(t or b"") for t in texts]
+        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
+        ends = np.cumsum(self.sizes + WINDOW)
+        self.offsets = ends - self.sizes - WINDOW
+        self.doc = np.repeat(np.arange(len(split)), self.sizes + WINDOW)
+        self.place = np.arange(len(self.doc)) - self.offsets[self.doc]
+        self.hashes = np.zeros(len(self.doc), np.uint64)
+        self.hashes[self.place < self.sizes[self.doc]] = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), np.uint64, int(self.sizes.sum()))
+
+    def left(self, at: np.ndarray) -> np.ndarray:
+        """How many words there are from each place to the end of its text."""
+        return self.sizes[self.doc[at]] - self.place[at]
+
+    def minimisers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hash of the seed at each place, the places where WINDOW seeds begin, and that of the smallest of each."""
+        n, everywhere = len(self.doc) - SEED_WORDS + 1, np.arange(len(self.doc))
+        if n < 1:
+            return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2
+        h = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(SEED_WORDS):
+                h = (h ^ self.hashes[k : n + k]) * MULTIPLIER
+                h ^= h >> np.uint64(29)
+        seeds = self.left(everywhere) - SEED_WORDS + 1  # from each place to the end of its text
+        h = np.concatenate([h, np.zeros(len(self.doc) - n, np.uint64)])
+        h[seeds < 1] = np.iinfo(np.uint64).max
+        least, width = everywhere, 1
+        while width < WINDOW:  # the first smallest of width places from each, twice as wide each time
+            step = min(width, WINDOW - width)
+            one, other = least[:-step], least[step:]
+            least, width = np.where(h[other] < h[one], other, one), width + step
+        starts = np.flatnonzero((seeds[: len(least)] >= WINDOW) | ((self.place[: len(least)] == 0) & (seeds[: len(least)] > 0)))
+        return h, starts, least[starts]
+
+    def runs(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of width words from each place."""
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.doc), MULTIPLIER)]))
+            undo = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.doc), np.uint64(pow(int(MULTIPLIER), -1, 1 << 64)))]))
+            upto = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * powers[:-1])])
+            return mixed((upto[at + width] - upto[at]) * undo[at])
+
+    def repeats(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the values h at ascending places: how many equal ones come before in the text, and the place
+        in the text of the last one that is MIN_WORDS or more before, or -1."""
+        order = np.lexsort((h, self.doc[at]))
+        s, d, k = h[order], self.doc[at][order], np.arange(len(h))
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (d[1:] != d[:-1])])[: len(h)]
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        key = group * (len(self.doc) + MIN_WORDS) + at[order]
+        last = np.searchsorted(key, key - MIN_WORDS, "right") - 1
+        rank, before = np.empty(len(h), np.int32), np.empty(len(h), np.int32)
+        rank[order] = k - first[group]
+        before[order] = np.where(last >= first[group], self.place[at[order][last]], -1)
+        return rank, before
 
 
 def with_seeds(reps: DataFrame) -> DataFrame:
-    """doc, key, place, again, before, g for the chosen seeds of each text.
+    """doc, key, place, before, g for the chosen seeds of each text.
 
-    key is a hash of the seed and of how often it came before in the document, again tells whether
-    it comes several times, before is the last place of one that is MIN_WORDS before it or -1, and g is the hash
-    of the RUN words from the place, null where the text ends before.
+    key is the hash of the seed, before the last place of an equal one that is MIN_WORDS before it or -1, and g the
+    hash of the RUN words from the place, null where the text ends before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for b in batches:
-            cols = []
-            for doc, x in zip(b.column(0).to_pylist(), pc.cast(b.column(1), pa.binary())):
-                words = words_of(x.as_py() or b"")
-                hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                h, least = minimisers(hashes)
-                at = np.unique(least)
-                rank, ends = ranks(h[at]), at + RUN > len(words)
-                g = runs_at(hashes, np.where(ends, 0, at), min(RUN, len(words)))
-                again = np.isin(h[at], h[at[rank > 0]])
-                with np.errstate(over="ignore"):
-                    key = np.where(rank > 0, mixed(h[at] + rank.astype(np.uint64) * MULTIPLIER), h[at])
-                cols.append((np.full(len(at), doc, np.int64), key.view(np.int64), at.astype(np.int32), again, earlier(h[at], at), g.view(np.int64), ends))
-            if cols:
-                *whole, g, ends = (np.concatenate(c) for c in zip(*cols))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, whole), pa.array(g, mask=ends)], ["doc", "key", "place", "again", "before", "g"])
+            text = Words(pc.cast(b.column(1), pa.binary()).to_pylist(), known)
+            h, _, least = text.minimisers()
+            at = np.unique(least)
+            ends = text.left(at) < RUN
+            g = text.runs(np.where(ends, 0, at), min(RUN, len(text.doc)))
+            doc = b.column(0).to_numpy(zero_copy_only=False)[text.doc[at]]
+            cols = [doc, h[at].view(np.int64), text.place[at].astype(np.int32), text.repeats(h[at], at)[1]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(g.view(np.int64), mask=ends)], ["doc", "key", "place", "before", "g"])
 
-    return reps.select("doc", "text").mapInArrow(run, "doc long, key long, place int, again boolean, before int, g long")
+    return reps.select("doc", "text").mapInArrow(run, "doc long, key long, place int, before int, g long")
 
 
 def with_runs(reps: DataFrame, runs: DataFrame) -> DataFrame:
-    """doc, k, rank, place, before: for the places asked for, the MIN_WORDS words around them.
+    """doc, k, rank, start, place, before: for the places asked for, the MIN_WORDS words around them.
 
     Each place of a text belongs to one seed, the smallest of the WINDOW that begin there, so the
-    words alone decide it; k is the hash of MIN_WORDS words and place that of their seed; before as in with_seeds().
+    words alone decide it; k is the hash of MIN_WORDS words from start, rank the number of equal ones before
+    in the document, place that of their seed, and before as in with_seeds().
     """
     asked = runs.groupBy("doc").agg(F.collect_set("place").alias("places"))
     both = reps.join(asked, "doc").select("doc", "text", "places")
@@ -160,48 +175,129 @@ def with_runs(reps: DataFrame, runs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for b in batches:
-            for doc, x, places in zip(b.column(0).to_pylist(), pc.cast(b.column(1), pa.binary()), b.column(2).to_pylist()):
-                words = words_of(x.as_py() or b"")
-                hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                least = minimisers(hashes)[1][: len(words) - MIN_WORDS + 1] if len(words) >= MIN_WORDS else np.zeros(0, np.int64)
-                starts = np.flatnonzero(np.isin(least, places))
-                k = runs_at(hashes, starts, MIN_WORDS)
-                place, last = least[starts].astype(np.int32), earlier(k, starts)
-                before = np.where(last < 0, -1, last + place - starts).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(k), doc, np.int64), k.view(np.int64), ranks(k), place, before)], ["doc", "k", "rank", "place", "before"])
+            text = Words(pc.cast(b.column(1), pa.binary()).to_pylist(), known)
+            wanted = np.zeros(len(text.doc), bool)
+            wanted[pc.list_flatten(b.column(2)).to_numpy() + text.offsets[pc.list_parent_indices(b.column(2)).to_numpy()]] = True
+            _, starts, least = text.minimisers()
+            chosen = wanted[least] & (text.left(starts) >= MIN_WORDS)
+            starts, least = starts[chosen], least[chosen]
+            k = text.runs(starts, min(MIN_WORDS, len(text.doc)))
+            rank, last = text.repeats(k, starts)
+            before = np.where(last < 0, -1, last + least - starts).astype(np.int32)
+            doc = b.column(0).to_numpy(zero_copy_only=False)[text.doc[starts]]
+            cols = (doc, k.view(np.int64), rank, text.place[starts].astype(np.int32), text.place[least].astype(np.int32), before)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["doc", "k", "rank", "start", "place", "before"])
+
+    return both.mapInArrow(run, "doc long, k long, rank int, start int, place int, before int")
+
+
+def with_pairs(met: DataFrame, covered: DataFrame, tasks: int) -> DataFrame:
+    """doc, key, x, x2: two seeds of a text, NEAR to FAR words from one another, of which one is frequent or both are.
+
+    key is the hash of both. Seeds in words that are covered, doc from low to high + MIN_WORDS, stand for nothing new.
+    """
+    rows = met.selectExpr("doc", "place", f"n > {FEW} AS hot", "key", "CAST(NULL AS INT) AS high")
+    rows = rows.union(covered.selectExpr("doc", "low", "false", "0L", "high"))
 
-    return both.mapInArrow(run, "doc long, k long, rank int, place int, before int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches, 1):
+            doc, place, hot, key = (c.to_numpy(zero_copy_only=False) for c in b.columns[:4])
+            cover = b.column(4).is_valid().to_numpy(zero_copy_only=False)
+            to = np.where(cover, b.column(4).fill_null(0).to_numpy().astype(np.int64) + MIN_WORDS, 0)
+            new = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+            far = 1 << 32  # farthest end so far in the document
+            reach = np.maximum.accumulate(new * far + to) - new * far
+            keep = ~cover & (place + SEED_WORDS > reach)
+            doc, place, hot, key = (c[keep] for c in (doc, place, hot, key.view(np.uint64)))
+            found = []
+            for step in range(1, len(doc)):
+                apart = place[step:].astype(np.int64) - place[:-step]
+                inside = (doc[step:] == doc[:-step]) & (apart <= FAR)
+                if not inside.any():
+                    break
+                k = np.flatnonzero(inside & (apart >= NEAR) & (hot[step:] | hot[:-step]))
+                with np.errstate(over="ignore"):
+                    found.append((doc[k], mixed(key[k] * MULTIPLIER + key[k + step]).view(np.int64), place[k], place[k + step]))
+            if found:
+                cols = [np.concatenate(c) for c in zip(*found)]
+                order = np.lexsort((cols[3], cols[1], cols[2], cols[0]))  # of equal pairs from a place the nearest
+                doc, key, x = (c[order] for c in cols[:3])
+                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (x[1:] != x[:-1])])[: len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array(c[order][new]) for c in cols], ["doc", "key", "x", "x2"])
+
+    return rows.repartition(tasks, "doc").sortWithinPartitions("doc", "place", F.col("high").asc_nulls_last()).mapInArrow(run, "doc long, key long, x int, x2 int")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Batches with all rows of a group; rows that agree in the first n columns come one after another."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        same = np.logical_and.reduce([c.to_numpy() == c[-1].as_py() for c in b.columns[:n]])
+        cut = b.num_rows - int(same.sum())
+        if cut or (rest and any(rest[-1].column(k)[-1] != b.column(k)[0] for k in range(n))):
+            yield pa.concat_batches([*rest, b.slice(0, cut)]) if cut else pa.concat_batches(rest)
+            rest = []
+        rest.append(b.slice(cut))
+    if rest:
+        yield pa.concat_batches(rest)
 
 
 def ordered(links: DataFrame) -> DataFrame:
-    """a, b, x, y from doc, place and their partner o."""
+    """a, b, x, y and steps of 0 from doc, place and their partner o."""
     first = F.struct("doc", "place") < F.struct("o.doc", "o.place")
     pick = lambda p, q: F.when(first, p).otherwise(q)
-    return links.select(pick(F.col("doc"), F.col("o.doc")).alias("a"), pick(F.col("o.doc"), F.col("doc")).alias("b"), pick(F.col("place"), F.col("o.place")).alias("x"), pick(F.col("o.place"), F.col("place")).alias("y"))
+    return links.select(pick(F.col("doc"), F.col("o.doc")).alias("a"), pick(F.col("o.doc"), F.col("doc")).alias("b"), pick(F.col("place"), F.col("o.place")).alias("x"), pick(F.col("o.place"), F.col("place")).alias("y"), F.lit(0).alias("dx"), F.lit(0).alias("dy"))
 
 
-def matches(reps: DataFrame, seeds: DataFrame) -> DataFrame:
-    """a, b, x, y: a seed of document a at place x that is in document b at place y; a < b, or a = b and x < y."""
+def matches(reps: DataFrame, seeds: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """a, b, x, y, dx, dy: a seed of document a at place x that is in document b at place y; a < b, or a = b and x < y.
+
+    Where dx and dy are not 0, the seeds at x + dx and y + dy are equal as well. The second table is for others():
+    key, doc, x, x2, first, the places of the pairs of seeds that have more than FEW, of which only the first made pairs.
+    """
     at, apart = F.struct("doc", "place"), (F.col("doc") != F.col("o.doc")) | (F.abs(F.col("place") - F.col("o.place")) >= MIN_WORDS)
-    inside = lambda t: t.where("before >= 0").select("doc", "place", F.struct("doc", F.col("before").alias("place")).alias("o"))
-    several = staged(seeds.groupBy("key").count().where("count > 1").select("key"), "shared-keys")  # most seeds are alone and go no further
-    met = staged(seeds.select("key", "doc", "place", "g").join(several, "key", "left_semi"), "shared-seeds")
-    anchors = met.groupBy("key").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.min(F.struct(F.xxhash64("doc").alias("r"), "doc", "place")).alias("some"))
-    anchors = anchors.select("key", F.array_distinct(F.array("low", "high", F.struct(F.col("some.doc").alias("doc"), F.col("some.place").alias("place")))).alias("anchors"))
-    single = ordered(met.select("key", "doc", "place").join(anchors, "key").select("doc", "place", F.explode("anchors").alias("o")).where(apart).union(inside(seeds)))
+    inside = lambda t, *more: t.where("before >= 0").select("doc", "place", F.struct("doc", F.col("before").alias("place")).alias("o"), *more)
+    several = staged(seeds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")  # most seeds are alone and go no further
+    met = staged(seeds.join(several, "key").select("key", "doc", "place", "g", "n"), "shared-seeds")
+    rare = met.where(f"n <= {FEW}").groupBy("key").agg(F.sort_array(F.collect_list(at)).alias("all"))
+    rare = rare.select("all", F.posexplode("all").alias("k", "one")).where("k > 0").select("one.doc", "one.place", F.explode(F.expr("slice(all, 1, k)")).alias("o"))
+    single = ordered(rare.where(apart).union(inside(seeds.join(several.where(f"n > {FEW}"), "key", "left_semi"))))
 
     # runs of RUN words; up to three places of one make all their pairs
-    shared = met.select("doc", "place", "g").union(seeds.where("again").select("doc", "place", "g")).where("g IS NOT NULL").distinct()
+    shared = met.select("doc", "place", "g").where("g IS NOT NULL")
     groups = shared.groupBy("g").agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).where("n > 1")
     runs = staged(shared.join(groups, "g"), "runs")
     few = runs.where("n <= 3").select("doc", "place", F.explode(F.array("low", "high")).alias("o")).where(apart)
     # places of others meet by all their MIN_WORDS words, each with the first
     keys = staged(with_runs(reps, runs.where("n > 3").select("doc", "place")), "keys")
     first = keys.groupBy("k", "rank").agg(F.count("*").alias("n"), F.min(at).alias("o")).where("n > 1")
-    many = keys.join(first, ["k", "rank"]).select("doc", "place", "o").where(apart)
-    along = F.explode(F.array(*(F.lit(s) for s in (0, (RUN - SEED_WORDS) // 2, RUN - SEED_WORDS))))
-    long = ordered(few.union(many).union(inside(keys))).distinct().select("a", "b", "x", "y", along.alias("s")).selectExpr("a", "b", "x + s AS x", "y + s AS y")
-    return single.union(long)
+    many = keys.join(first, ["k", "rank"]).select("doc", "place", "o", "start").where(apart).union(inside(keys, "start"))
+    many = staged(many.groupBy("doc", "place", "o").agg(F.min("start").alias("low"), F.max("start").alias("high")), "members")
+    long = ordered(few.union(many.select("doc", "place", "o"))).distinct().withColumns({"dx": F.lit(NEAR), "dy": F.lit(NEAR)})
+
+    # places of frequent seeds that are no members meet by two seeds: up to FEW of them all with all, more with the first
+    pairs = staged(with_pairs(met, many.select("doc", "low", "high"), tasks), "pairs")
+    common = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "x", "x2")).alias("f"), F.max("doc").alias("high")).where("f.doc < high")
+    again = staged(pairs.join(common.drop("high"), "key"), "shared-pairs")
+    crowds = again.where(f"n > {FEW}")
+    star = crowds.where("doc > f.doc").selectExpr("f.doc AS a", "doc AS b", "f.x", "x AS y", "f.x2 - f.x AS dx", "x2 - x AS dy")
+    some = again.where(f"n <= {FEW}")
+    return single.union(long).union(star).union(met_by_two(some, some)), crowds.selectExpr("key", "doc", "x", "x2", "f.doc AS first")
+
+
+def met_by_two(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows as those of matches() from places of pairs of seeds, each of one with each of other in another document."""
+    one, other = one.selectExpr("key", "doc AS a", "x", "x2 - x AS dx"), other.selectExpr("key", "doc AS b", "x AS y", "x2 - x AS dy")
+    return one.join(other, "key").where("a < b").select("a", "b", "x", "y", "dx", "dy")
+
+
+def others(crowds: DataFrame, found: DataFrame) -> DataFrame:
+    """What the first of a crowd does not represent: documents without a passage in common with it meet all of the crowd."""
+    members = found.selectExpr("doc_id AS doc", "partner_id AS first").distinct()
+    alone = staged(crowds.where("doc <> first").join(members, ["doc", "first"], "left_anti").select("key", "doc", "x", "x2"), "others")
+    return met_by_two(alone, crowds).union(met_by_two(crowds, alone))
 
 
 class Fenwick:
@@ -260,28 +356,18 @@ def chained(links: DataFrame, tasks: int) -> DataFrame:
     """a, b, xs, ys: the chains of each pair, from its matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, points = None, []
-
-        def done() -> list[tuple]:
-            if key is None or len(points) < 2 or max(x for x, _ in points) - min(x for x, _ in points) + SEED_WORDS < MIN_CHAIN:
-                return []
-            return [(*key, [x for x, _ in c], [y for _, y in c]) for c in chains(points)]
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["a", "b", "xs", "ys"])
-
-        for b in batches:
+        for batch in whole_groups(batches, 2):
+            a, b, x, y, dx, dy = (c.to_numpy() for c in batch.columns)
+            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            wide = np.logical_and(*(np.maximum.reduceat(c + d, starts) - np.minimum.reduceat(c, starts) + SEED_WORDS >= MIN_CHAIN for c, d in ((x, dx), (y, dy))))
             rows = []
-            for da, db, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                if (da, db) != key:
-                    rows += done()
-                    key, points = (da, db), []
-                points.append((x, y))
+            for s, e in zip(starts[wide].tolist(), np.append(starts, len(a))[1:][wide].tolist()):
+                ends, far = np.flatnonzero(dx[s:e]) + s, np.flatnonzero(np.minimum(dx[s:e], dy[s:e]) > NEAR) + s
+                xs, ys = (np.concatenate([c[s:e], c[ends] + d[ends], c[far] + NEAR]) for c, d in ((x, dx), (y, dy)))
+                rows += [(int(a[s]), int(b[s]), [p for p, _ in c], [q for _, q in c]) for c in chains(list(zip(xs.tolist(), ys.tolist())))]
             if rows:
-                yield batch(rows)
-        if rows := done():
-            yield batch(rows)
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["a", "b", "xs", "ys"])
 
     return links.repartition(tasks, "a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long, xs array<int>, ys array<int>")
 
@@ -430,7 +516,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     copies = members.select(F.lit("copy").alias("kind"), own.alias("doc_id"), whole.alias("start"), F.col("n_words").alias("stop"), F.col("rep").alias("partner_id"), whole.alias("partner_start"), F.col("n_words").alias("partner_stop"), F.col("n_words").alias("n_equal"), F.lit(1.0).alias("identity"))
     reps = slim.select("doc", "text", *same).join(classes.where("n_words >= 20").select("h1", "h2", F.col("rep").alias("doc")), ["h1", "h2", "doc"], "left_semi")
     seeds = staged(with_seeds(reps), "seeds")
-    found = chained(matches(reps, seeds), tasks)
+    links, crowds = matches(reps, seeds, tasks)
     lost = lambda c: F.when(F.col(c) == LARGEST, None).otherwise(F.col(c)).alias(c)
-    fuzzy = aligned(reps, found, tasks)
-    return copies.union(fuzzy).select("kind", lost("doc_id"), "start", "stop", lost("partner_id"), "partner_start", "partner_stop", "n_equal", "identity")
+    fuzzy = staged(aligned(reps, chained(links, tasks), tasks), "passages")
+    rest = aligned(reps, chained(others(crowds, fuzzy), tasks), tasks).join(fuzzy, [f.split()[0] for f in RESULT.split(", ")[1:7]], "left_anti").select(fuzzy.columns)
+    return copies.union(fuzzy).union(rest).select("kind", lost("doc_id"), "start", "stop", lost("partner_id"), "partner_start", "partner_stop", "n_equal", "identity")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from gleanery.llm import substring_dedup as d
 
 rng = random.Random(11)
@@ -127,3 +129,43 @@ def test_repeats_within_documents_and_of_lines(spark):
     found = {(r.doc_id, r.start // 30 * 30) for r in out if {r.doc_id, r.partner_id} <= {5, 6, 7}}
     assert found >= {(5, 0), (5, 180), (6, 0), (7, 0), (7, 120)}
     assert len(out) < 200
+
+
+def test_fuzzy_passages_of_frequent_lines(spark):
+    edited = lambda parts: sum(([*p, *fresh(1)] for p in parts), fresh(1))
+    lines = [fresh(20) for _ in range(12)]
+    rows = [(k, fresh(30) + lines[k % 12] + fresh(30)) for k in range(480)]  # each line alone in 40 documents
+    rows += [(700 + k, fresh(40) + edited(lines[3:7]) + fresh(40)) for k in (0, 1)]
+    core = [fresh(15) for _ in range(3)]  # with an edit between them 47 words, too few for a passage
+    rows += [(k, fresh(40) + edited(core) + fresh(40)) for k in (*range(-30, 0), *range(1000, 1030))]
+    ends = [fresh(5), fresh(5)]
+    rows += [(800 + k, fresh(40) + edited([ends[0], *core, ends[1]]) + fresh(40)) for k in (0, 1)]
+    crowd = [fresh(18) for _ in range(6)]  # near copies, in which no 41 words in a row are equal
+    rows += [(2000 + k, edited(crowd)) for k in range(40)]
+    rng.shuffle(rows)
+    out = d.repeated(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")).collect()
+    linked = {(r.doc_id, r.partner_id) for r in out}
+    assert {(700, 701), (701, 700), (800, 801), (801, 800)} <= linked
+    assert {a for a, _ in linked} == {700, 701, 800, 801, *range(2000, 2040)}
+    assert all((2000, k) in linked for k in range(2001, 2040))  # a class by its first, not all 780 pairs
+
+
+def test_words_of_a_batch():
+    texts = [fresh(n) for n in (0, 3, 6, 9, 15, 16, 40)] + [fresh(4) * 30, ["the"] * 90, fresh(7) * 20 + fresh(5) * 20]
+    batch = d.Words([" ".join(t).encode() for t in texts], d.Hashes())
+    h, starts, least = batch.minimisers()
+    runs = batch.runs(np.arange(len(batch.doc) - 12), 12)
+    for k, t in enumerate(texts):
+        here = slice(batch.offsets[k], batch.offsets[k] + max(len(t) - d.SEED_WORDS + 1, 0))
+        seeds = h[here].tolist()
+        assert len({tuple(t[i : i + d.SEED_WORDS]) for i in range(len(seeds))}) == len(set(seeds))
+        expected = [min(range(i, min(i + d.WINDOW, len(seeds))), key=seeds.__getitem__) for i in range(max(len(seeds) - d.WINDOW + 1, min(len(seeds), 1)))]
+        assert batch.place[least[batch.doc[starts] == k]].tolist() == expected
+        at = np.arange(here.start, here.stop)
+        rank, before = batch.repeats(h[at], at)
+        assert rank.tolist() == [seeds[:i].count(s) for i, s in enumerate(seeds)]
+        assert before.tolist() == [max((j for j in range(i - d.MIN_WORDS + 1) if seeds[j] == s), default=-1) for i, s in enumerate(seeds)]
+        grams = {}
+        for i in range(len(t) - 11):
+            grams.setdefault(tuple(t[i : i + 12]), set()).add(int(runs[here.start + i]))
+        assert all(len(g) == 1 for g in grams.values()) and len(set.union(set(), *grams.values())) == len(grams)
