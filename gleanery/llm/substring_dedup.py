@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, staged
+from .shared import small_batches, staged, unstaged
 
 SEED_WORDS, WINDOW = 6, 10
 GAP, MIN_CHAIN = 0.15, 26
@@ -251,19 +251,21 @@ def ordered(links: DataFrame) -> DataFrame:
     return links.select(pick(F.col("doc"), F.col("o.doc")).alias("a"), pick(F.col("o.doc"), F.col("doc")).alias("b"), pick(F.col("place"), F.col("o.place")).alias("x"), pick(F.col("o.place"), F.col("place")).alias("y"), F.lit(0).alias("dx"), F.lit(0).alias("dy"))
 
 
-def matches(reps: DataFrame, seeds: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+def matches(reps: DataFrame, seeds: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """a, b, x, y, dx, dy: a seed of document a at place x that is in document b at place y; a < b, or a = b and x < y.
 
     Where dx and dy are not 0, the seeds at x + dx and y + dy are equal as well. The second table is for others():
     key, doc, x, x2, first, the places of the pairs of seeds that have more than FEW, of which only the first made pairs.
+    The last ones are the tables that only the first reads.
     """
     at, apart = F.struct("doc", "place"), (F.col("doc") != F.col("o.doc")) | (F.abs(F.col("place") - F.col("o.place")) >= MIN_WORDS)
     inside = lambda t, *more: t.where("before >= 0").select("doc", "place", F.struct("doc", F.col("before").alias("place")).alias("o"), *more)
     several = staged(seeds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")  # most seeds are alone and go no further
-    met = staged(seeds.join(several, "key").select("key", "doc", "place", "g", "n"), "shared-seeds")
+    met = staged(seeds.join(several, "key").select("key", "doc", "place", "before", "g", "n"), "shared-seeds")
+    unstaged(seeds, several)
     rare = met.where(f"n <= {FEW}").groupBy("key").agg(F.sort_array(F.collect_list(at)).alias("all"))
     rare = rare.select("all", F.posexplode("all").alias("k", "one")).where("k > 0").select("one.doc", "one.place", F.explode(F.expr("slice(all, 1, k)")).alias("o"))
-    single = ordered(rare.where(apart).union(inside(seeds.join(several.where(f"n > {FEW}"), "key", "left_semi"))))
+    single = ordered(rare.where(apart).union(inside(met.where(f"n > {FEW}"))))
 
     # runs of RUN words; up to three places of one make all their pairs
     shared = met.select("doc", "place", "g").where("g IS NOT NULL")
@@ -275,16 +277,18 @@ def matches(reps: DataFrame, seeds: DataFrame, tasks: int) -> tuple[DataFrame, D
     first = keys.groupBy("k", "rank").agg(F.count("*").alias("n"), F.min(at).alias("o")).where("n > 1")
     many = keys.join(first, ["k", "rank"]).select("doc", "place", "o", "start").where(apart).union(inside(keys, "start"))
     many = staged(many.groupBy("doc", "place", "o").agg(F.min("start").alias("low"), F.max("start").alias("high")), "members")
+    unstaged(keys)
     long = ordered(few.union(many.select("doc", "place", "o"))).distinct().withColumns({"dx": F.lit(NEAR), "dy": F.lit(NEAR)})
 
     # places of frequent seeds that are no members meet by two seeds: up to FEW of them all with all, more with the first
     pairs = staged(with_pairs(met, many.select("doc", "low", "high"), tasks), "pairs")
     common = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "x", "x2")).alias("f"), F.max("doc").alias("high")).where("f.doc < high")
     again = staged(pairs.join(common.drop("high"), "key"), "shared-pairs")
+    unstaged(pairs)
     crowds = again.where(f"n > {FEW}")
     star = crowds.where("doc > f.doc").selectExpr("f.doc AS a", "doc AS b", "f.x", "x AS y", "f.x2 - f.x AS dx", "x2 - x AS dy")
     some = again.where(f"n <= {FEW}")
-    return single.union(long).union(star).union(met_by_two(some, some)), crowds.selectExpr("key", "doc", "x", "x2", "f.doc AS first")
+    return single.union(long).union(star).union(met_by_two(some, some)), crowds.selectExpr("key", "doc", "x", "x2", "f.doc AS first"), [met, runs, many]
 
 
 def met_by_two(one: DataFrame, other: DataFrame) -> DataFrame:
@@ -353,7 +357,7 @@ def chains(points: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 
 
 def chained(links: DataFrame, tasks: int) -> DataFrame:
-    """a, b, xs, ys: the chains of each pair, from its matches."""
+    """a, b, xs, ys: the chains of each pair, from its matches; written, for aligned() reads it twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, 2):
@@ -369,7 +373,7 @@ def chained(links: DataFrame, tasks: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["a", "b", "xs", "ys"])
 
-    return links.repartition(tasks, "a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long, xs array<int>, ys array<int>")
+    return staged(links.repartition(tasks, "a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long, xs array<int>, ys array<int>"), "chains")
 
 
 def edits(a: list, b: list) -> list[int]:
@@ -475,7 +479,7 @@ def aligned(reps: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
     """Rows 'passage' of RESULT, a with its smaller partner and the other way round."""
     low = lambda p: (F.floor(F.greatest(F.array_min(p) - MARGIN, F.lit(0)) / SNAP) * SNAP).cast("int")
     high = lambda p: (F.ceil((F.array_max(p) + SEED_WORDS + MARGIN) / SNAP) * SNAP).cast("int")
-    found = staged(found.select("a", "b", "xs", "ys", low("xs").alias("al"), high("xs").alias("ah"), low("ys").alias("bl"), high("ys").alias("bh")), "chains")
+    found = found.select("a", "b", "xs", "ys", low("xs").alias("al"), high("xs").alias("ah"), low("ys").alias("bl"), high("ys").alias("bh"))
     wanted = found.select(F.col("a").alias("doc"), F.col("al").alias("low"), F.col("ah").alias("high")).union(found.select("b", "bl", "bh"))
     slices = staged(sliced(reps, wanted, tasks), "slices")
     of_a = slices.select(F.col("doc").alias("a"), F.col("low").alias("al"), F.col("high").alias("ah"), F.col("words").alias("aw"))
@@ -516,8 +520,10 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     copies = members.select(F.lit("copy").alias("kind"), own.alias("doc_id"), whole.alias("start"), F.col("n_words").alias("stop"), F.col("rep").alias("partner_id"), whole.alias("partner_start"), F.col("n_words").alias("partner_stop"), F.col("n_words").alias("n_equal"), F.lit(1.0).alias("identity"))
     reps = slim.select("doc", "text", *same).join(classes.where("n_words >= 20").select("h1", "h2", F.col("rep").alias("doc")), ["h1", "h2", "doc"], "left_semi")
     seeds = staged(with_seeds(reps), "seeds")
-    links, crowds = matches(reps, seeds, tasks)
+    links, crowds, read = matches(reps, seeds, tasks)
+    found = chained(links, tasks)
+    unstaged(*read)
     lost = lambda c: F.when(F.col(c) == LARGEST, None).otherwise(F.col(c)).alias(c)
-    fuzzy = staged(aligned(reps, chained(links, tasks), tasks), "passages")
+    fuzzy = staged(aligned(reps, found, tasks), "passages")
     rest = aligned(reps, chained(others(crowds, fuzzy), tasks), tasks).join(fuzzy, [f.split()[0] for f in RESULT.split(", ")[1:7]], "left_anti").select(fuzzy.columns)
     return copies.union(fuzzy).union(rest).select("kind", lost("doc_id"), "start", "stop", lost("partner_id"), "partner_start", "partner_stop", "n_equal", "identity")
