@@ -69,6 +69,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_alone(df: DataFrame, label: str) -> DataFrame:
+    """As staged(), and what was shuffled for it goes when it is written, not when the driver collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return staged(df, label)
+    finally:
+        conf.set(key, before)
+
+
 def unstaged(*tables: DataFrame) -> None:
     """Delete what staged() wrote for tables that nothing reads any more."""
     for df in tables:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -169,3 +170,31 @@ def test_words_of_a_batch():
         for i in range(len(t) - 11):
             grams.setdefault(tuple(t[i : i + 12]), set()).add(int(runs[here.start + i]))
         assert all(len(g) == 1 for g in grams.values()) and len(set.union(set(), *grams.values())) == len(grams)
+
+
+def test_shuffles_go_when_tables_are_written(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size())} if files.size() else set()
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    passage, before, setting = fresh(60), shuffled(), spark.conf.get(key)
+    out = d.repeated(spark.createDataFrame([(k, " ".join(fresh(20) + passage + fresh(20))) for k in range(30)], "doc_id long, text string"))
+    left = set()
+    for _ in range(50):  # files are deleted in the background
+        left = {f for f in shuffled() - before if f.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(key) == setting
+    assert {r.partner_id for r in out.collect() if r.doc_id == 29} == {0}
+
+
+def test_hashes_of_words_of_any_length():
+    words = [b"a", b"aa", b"z" * (d.CHUNK - 1), b"z" * d.CHUNK, b"y" * (d.CHUNK + 9), "é".encode(), *(w.encode() for w in VOCAB)]
+    text = b"\x0b".join([*words, b"A", *words[::-1], b"\x1cZ", *words[2:5], b"AA"]).replace(b"z", b"Z", 7) + b" \n"
+    starts, hashes = d.Hashes().of(text)
+    split = d.words_of(text)
+    assert [text[s : s + 1].lower() for s in starts.tolist()] == [w[:1] for w in split]
+    assert len({*zip(split, hashes.tolist())}) == len({*split}) == len({*hashes.tolist()})
