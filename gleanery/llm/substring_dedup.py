@@ -302,21 +302,25 @@ def matches(reps: DataFrame, classes: DataFrame, seeds: DataFrame, tasks: int) -
     shared = met.select("doc", "place", "g").where("g IS NOT NULL")
     groups = shared.groupBy("g").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("doc", "place") for f in (F.min, F.max)), F.min_by("place", "doc").alias("of_min"), F.max_by("place", "doc").alias("of_max")).where("n > 1")
     end = lambda f: F.struct(F.col(f"{f}_doc").alias("doc"), F.when(F.col("min_doc") == F.col("max_doc"), F.col(f"{f}_place")).otherwise(F.col(f"of_{f}")).alias("place"))
-    runs = staged_alone(shared.join(groups.select("g", "n", end("min").alias("low"), end("max").alias("high")).hint("shuffle_hash"), "g"), "runs")
+    groups = staged_alone(groups.select("g", "n", end("min").alias("low"), end("max").alias("high")), "groups")  # so that large ones can be split
+    runs = staged_alone(shared.join(groups.hint("shuffle_hash"), "g"), "runs")
+    unstaged(groups)
     few = runs.where("n <= 3").select("doc", "place", F.explode(F.array("low", "high")).alias("o")).where(apart)
     # places of others meet by all their MIN_WORDS words, each with the first
     keys = staged_alone(with_runs(reps, classes, runs.where("n > 3").select("doc", "place")), "keys")
     first = keys.groupBy("k", "rank").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place")).where("n > 1")
-    many = keys.join(first.select("k", "rank", F.struct("doc", "place").alias("o")).hint("shuffle_hash"), ["k", "rank"]).select("doc", "place", "o", "start").where(apart).union(inside(keys, "start"))
+    first = staged_alone(first.select("k", "rank", F.struct("doc", "place").alias("o")), "first")
+    many = keys.join(first.hint("shuffle_hash"), ["k", "rank"]).select("doc", "place", "o", "start").where(apart).union(inside(keys, "start"))
     many = staged_alone(many.groupBy("doc", "place", "o").agg(F.min("start").alias("low"), F.max("start").alias("high")), "members")
-    unstaged(keys)
+    unstaged(keys, first)
     long = ordered(few.union(many.select("doc", "place", "o"))).distinct().withColumns({"dx": F.lit(NEAR), "dy": F.lit(NEAR)})
 
     # places of frequent seeds that are no members meet by two seeds: up to FEW of them all with all, more with the first
     pairs = staged_alone(with_pairs(met, many.select("doc", "low", "high"), tasks), "pairs")
     common = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "x", "x2")).alias("f"), F.max("doc").alias("high")).where("f.doc < high")
-    again = staged_alone(pairs.join(common.drop("high"), "key"), "shared-pairs")
-    unstaged(pairs)
+    common = staged_alone(common.drop("high"), "shared-pair-keys")
+    again = staged_alone(pairs.join(common.hint("shuffle_hash"), "key"), "shared-pairs")
+    unstaged(pairs, common)
     crowds = again.where(f"n > {FEW}")
     star = crowds.where("doc > f.doc").selectExpr("f.doc AS a", "doc AS b", "f.x", "x AS y", "f.x2 - f.x AS dx", "x2 - x AS dy")
     some = again.where(f"n <= {FEW}")
