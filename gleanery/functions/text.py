@@ -31,6 +31,7 @@ MULTI_HOP = r"(?i)\b(which|what)\b.*\b(part|parts|fit|fits|need)\b.*\b(recall|ca
 TEMPORAL = r"(?i)\b(latest|most recent|current|newest|this year|last year)\b"
 EXPERIENCE = r"(?i)\b(last time|previously|before|lesson|learned|again)\b"
 PAGE_NUMBER_KEYS = ("#", "page #", "page # of #", "# / #", "- # -")
+BLANK = r"[\t\n\f\r ]"  # what \s means in SQL
 WORD, SENTENCE_END, TOKEN_CHARS = r"[\p{L}\p{N}]+", r"(?<=[.!?])\s+|\n+", 4
 
 
@@ -111,10 +112,15 @@ def boilerplate_key(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "[0-9]+", "#"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Round as SQL does: the scaled binary number half away from zero, where F.round() rounds its decimal digits."""
+    return F.round(value.cast("double") * 10.0**digits) / 10.0**digits
+
+
 def ocr_quality(text: Column) -> Column:
     """Share of characters in plausible words and numbers."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: F.length(t) > 0)
-    good = F.filter(parts, lambda t: t.rlike(r"""^[(\["']?\p{L}{3,}[)\]"'.,;:!?]*$""") | t.rlike(r"^[0-9]+([.,:/-][0-9]+)*[.,;:]?$"))
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), lambda t: F.length(t) > 0)
+    good = F.filter(parts, lambda t: t.rlike(r"""^[(\["']?\p{L}{3,}[)\]"'.,;:!?]*\z""") | t.rlike(r"^[0-9]+([.,:/-][0-9]+)*[.,;:]?\z"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda n, t: n + F.length(t))
     return F.when(total(parts) == 0, 0.0).otherwise(total(good) / total(parts))
 

@@ -51,7 +51,7 @@ def ocr_decision(spark, sf_dir):
 @query("WITH t AS (SELECT conv_id, sum(CASE WHEN text IS NULL OR text = '' THEN 0 ELSE greatest(1, ceil(length(text) / 4.0)) END) AS n FROM conversations GROUP BY 1) SELECT round(avg(n), 6) AS mean_tokens, round(median(n), 6) AS median_tokens FROM t")
 def context_size(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("tokens", X.estimated_tokens(F.col("text")))
-    return evaluation.context_tokens(c, "conv_id", "tokens").select(F.round("mean_tokens", 6).alias("mean_tokens"), F.round("median_tokens", 6).alias("median_tokens"))
+    return evaluation.context_tokens(c, "conv_id", "tokens").select(X.rounded(F.col("mean_tokens"), 6).alias("mean_tokens"), X.rounded(F.col("median_tokens"), 6).alias("median_tokens"))
 
 
 @query("SELECT p_partkey AS id, p_brand || CASE WHEN p_size % 2 = 0 THEN ' p.' || p_size ELSE '' END AS citation, CASE WHEN p_size % 3 = 0 THEN p_retailprice ELSE p_size::DOUBLE END AS score FROM part")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
 from .catalog import query, table
 
 
@@ -12,7 +13,7 @@ from .catalog import query, table
 def rollup_totals(spark, sf_dir):
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)  # 25 nations
-    return j.rollup(F.col("n_regionkey").alias("region"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return j.rollup(F.col("n_regionkey").alias("region"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), X.rounded(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
@@ -30,7 +31,7 @@ def semi_anti_joins(spark, sf_dir):
 @query("SELECT l_suppkey, l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 3")
 def ranking_windows(spark, sf_dir):
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    return table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("l_suppkey", "l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("price"))
+    return table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("l_suppkey", "l_orderkey", "l_linenumber", X.rounded(F.col("l_extendedprice"), 2).alias("price"))
 
 
 @query("(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)")
@@ -41,7 +42,7 @@ def set_ops(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    e = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), X.rounded(F.sum("value"), 4).alias("total"))
     return e.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
@@ -67,5 +68,5 @@ def as_of_join(spark, sf_dir):
 def pricing_summary(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp '1998-09-02'")
     return li.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"),
+        F.sum("l_quantity").alias("sum_qty"), X.rounded(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), X.rounded(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"),
     )

@@ -217,3 +217,18 @@ def test_governance(spark):
     assert audit.kind == "audit" and audit.text == 'forget {"document":"a.pdf","removed":null}'
     assert value(spark, X.normalized_line(F.lit("ﬁne\u00ad  x\u00a0y "))) == "fine x y"
     assert [value(spark, X.duration_days(F.lit(v))) for v in ("P730D", "P1Y")] == [730, 365]
+
+
+def test_ocr_quality_rounds_as_sql(spark, tmp_path):
+    """41 of 640 characters: the binary quotient lies below the tie that its decimal digits show."""
+    import duckdb
+
+    from gleanery import plans
+
+    texts = ["a" * 41 + " " + "1x" * 299 + "z", "", " \n", None, "abc  12\u0085 12", "abc\x0bdef abc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(plans.ORACLES["ocr_quality"]).fetchall())
+    assert want[0] == (0, 0.064062)
+    assert sorted(map(tuple, plans.QUERIES["ocr_quality"](spark, str(tmp_path)).collect())) == want
