@@ -16,12 +16,14 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Fields that new has overwrite, nulls included; the others stay."""
-    own = [c for c in new.columns if c != key]
-    both = old.withColumn("__old", F.lit(True)).alias("o").join(new.withColumn("__new", F.lit(True)).alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+def merged(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
+    """Fields that new has overwrite, nulls included; the others stay. Of several keys all must be equal."""
+    keys = [key] if isinstance(key, str) else key
+    own = [c for c in new.columns if c not in keys]
+    same = reduce(lambda a, b: a & b, (F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys))
+    both = old.withColumn("__old", F.lit(True)).alias("o").join(new.withColumn("__new", F.lit(True)).alias("n"), same, "full_outer")
     pick = lambda c: F.when(F.col("__new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) if c in own else F.col(f"o.{c}").alias(c)
-    return both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *(pick(c) for c in old.columns if c != key))
+    return both.select(*(F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys), *(pick(c) for c in old.columns if c not in keys))
 
 
 def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:

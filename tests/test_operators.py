@@ -232,3 +232,18 @@ def test_ocr_quality_rounds_as_sql(spark, tmp_path):
     want = sorted(con.sql(plans.ORACLES["ocr_quality"]).fetchall())
     assert want[0] == (0, 0.064062)
     assert sorted(map(tuple, plans.QUERIES["ocr_quality"](spark, str(tmp_path)).collect())) == want
+
+
+def test_upsert_adds_parts_of_their_own(spark, tmp_path):
+    """The table already has the number that an added part gets."""
+    import duckdb
+
+    from gleanery import plans
+
+    rows = [(k, f"n{k}", "b") for k in (8, 12, 16, 17, 1_000_016, 1_000_017)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(map(repr, con.sql(plans.ORACLES["upsert_merge"]).fetchall()))
+    got = plans.QUERIES["upsert_merge"](spark, str(tmp_path)).select("p_partkey", "p_name", "p_brand")
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
