@@ -31,7 +31,8 @@ MULTI_HOP = r"(?i)\b(which|what)\b.*\b(part|parts|fit|fits|need)\b.*\b(recall|ca
 TEMPORAL = r"(?i)\b(latest|most recent|current|newest|this year|last year)\b"
 EXPERIENCE = r"(?i)\b(last time|previously|before|lesson|learned|again)\b"
 PAGE_NUMBER_KEYS = ("#", "page #", "page # of #", "# / #", "- # -")
-BLANK = r"[\t\n\f\r ]"  # what \s means in SQL
+BLANK, WORD_END = r"[\t\n\f\r ]", r"(?!\w)"  # what \s means in SQL, and \b after a word
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"  # what SQL trims
 WORD, SENTENCE_END, TOKEN_CHARS = r"[\p{L}\p{N}]+", r"(?<=[.!?])\s+|\n+", 4
 
 
@@ -39,6 +40,11 @@ def strings(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def bounded(pattern: str) -> str:
+    """A pattern for Spark whose \\b is SQL's: between ASCII word characters and all others."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits, one-character words included."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
@@ -70,12 +76,12 @@ def normalized_entity(value: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Sorted normalised campaigns, part numbers, models and years."""
-    found = F.concat(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 0) for p in ENTITY_PATTERNS.values()))
+    found = F.concat(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(bounded(p)), 0) for p in ENTITY_PATTERNS.values()))
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, normalized_entity), lambda e: F.length(e) >= 3)))
 
 
 def quantities(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(QUANTITY), 0)
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(bounded(QUANTITY)), 0)
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -104,7 +110,7 @@ def family(document: Column) -> Column:
 def redacted(text: Column) -> Column:
     out = text
     for pattern, label in ((EMAIL, "<email>"), (IBAN, "<iban>"), (PHONE, "<phone>")):
-        out = F.regexp_replace(out, pattern, label)
+        out = F.regexp_replace(out, bounded(pattern), label)
     return out
 
 
@@ -161,8 +167,8 @@ def routes(question: Column) -> Column:
     """The memories to ask, in order of trust."""
     has = F.size(entities(question)) > 0
     return (
-        F.when(question.rlike(MULTI_HOP) & has, strings(["graph", "facts", "semantic"])).when(question.rlike(TEMPORAL), strings(["facts", "fresh"]))
-        .when(question.rlike(EXPERIENCE), strings(["episodic", "semantic"])).when(has, strings(["facts", "semantic"])).otherwise(strings(["semantic"]))
+        F.when(question.rlike(bounded(MULTI_HOP)) & has, strings(["graph", "facts", "semantic"])).when(question.rlike(bounded(TEMPORAL)), strings(["facts", "fresh"]))
+        .when(question.rlike(bounded(EXPERIENCE)), strings(["episodic", "semantic"])).when(has, strings(["facts", "semantic"])).otherwise(strings(["semantic"]))
     )
 
 

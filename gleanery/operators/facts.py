@@ -53,11 +53,11 @@ def subject_before(text: Column) -> Column:
 
 def quantity_facts(sentence: Column) -> Column:
     """Each value with a unit, under the words before it."""
-    values, pieces = X.quantities(sentence), F.split(sentence, X.QUANTITY, -1)
+    values, pieces = X.quantities(sentence), F.split(sentence, X.bounded(X.QUANTITY), -1)
 
     def fact(value: Column, k: Column) -> Column:
         before = F.array_join(F.zip_with(F.slice(pieces, 1, k + 1), F.concat(F.slice(values, 1, k), F.array(F.lit(""))), lambda p, v: F.concat(p, v)), "")
-        unit = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(value, X.QUANTITY, 2)), "%", "percent"), " ", "_")
+        unit = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(value, X.bounded(X.QUANTITY), 2)), "%", "percent"), " ", "_")
         return F.struct(subject_before(before).alias("subject"), F.concat(F.lit("value_"), unit).alias("predicate"), value.alias("object"))
 
     return F.filter(F.transform(values, fact), lambda f: F.length(f["subject"]) > 0).cast(FACT)

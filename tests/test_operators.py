@@ -247,3 +247,29 @@ def test_upsert_adds_parts_of_their_own(spark, tmp_path):
     want = sorted(map(repr, con.sql(plans.ORACLES["upsert_merge"]).fetchall()))
     got = plans.QUERIES["upsert_merge"](spark, str(tmp_path)).select("p_partkey", "p_name", "p_brand")
     assert sorted(repr(tuple(r)) for r in got.collect()) == want
+
+
+def test_profile_lines_end_words_and_trim_as_sql(spark, tmp_path):
+    """In SQL an accented letter ends a word, and all spaces of Unicode are trimmed."""
+    import duckdb
+
+    from gleanery import plans
+
+    texts = ["Ouréier la", "our_x", "mý", "I٣", "\x0bmy x", "\x0c my x", "Our x　", "we ", "wet", "Are x ​", None]
+    rows = [(k, 1 + 2 * k, "user", t) for k, t in enumerate(texts)] + [(99, 2, "user", " x  "), (99, 3, "agent", "my x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.sql(plans.ORACLES["user_profile_lines"]).fetchall())
+    assert (0, 1, "Ouréier la") in want
+    assert sorted(map(tuple, plans.QUERIES["user_profile_lines"](spark, str(tmp_path)).collect())) == want
+
+
+def test_word_bounds_are_those_of_sql(spark):
+    import duckdb
+
+    texts = ["éLT-300 and mý 2024é", "5 kmé, 7 kg", "againé", "x_LT-300 5 km_", "éDE02 1203 0000 0000 2020 51é"]
+    for column, pattern in ((X.quantities, X.QUANTITY), (lambda c: F.regexp_extract_all(c, F.lit(X.bounded(X.IBAN)), F.lit(0)), X.IBAN), (lambda c: F.regexp_extract_all(c, F.lit(X.bounded(X.EXPERIENCE)), F.lit(0)), X.EXPERIENCE)):
+        for t in texts:
+            assert value(spark, column(F.lit(t))) == duckdb.execute("SELECT regexp_extract_all(?, ?)", [t, pattern]).fetchone()[0]
+    assert value(spark, X.entities(F.lit(texts[0]))) == ["2024", "LT300"]
