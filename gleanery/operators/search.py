@@ -43,11 +43,12 @@ def both_filters(*clauses: str | None) -> str | None:
 
 
 def search(index: DataFrame, mode: str = "hybrid", question: str | None = None, vector: list[float] | None = None, where: str | None = None, top: int = POOL,
-           key: str = "id", fields: tuple[str, ...] = ("text",), order_by: str | None = None, as_of: Column | None = None) -> DataFrame:
+           key: str = "id", fields: tuple[str, ...] = ("text",), order_by: str | None = None, as_of: Column | None = None, even: float = 0.0) -> DataFrame:
     """The first rows of the index without its embedding, with score, reranker_score and rank.
 
     Without a question, or with '*', and without a vector each row scores 1. order_by names a
     column, and 'desc' after it, that decides instead of the score, null like an empty text.
+    Scores that are all equal count as even when the pool is ranked again.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -73,7 +74,7 @@ def search(index: DataFrame, mode: str = "hybrid", question: str | None = None,
     found = found.withColumn("reranker_score", F.lit(None).cast("double"))
     if mode == "semantic" and legs:
         pool = ranking.top(found.drop("reranker_score").withColumn("__text", F.concat_ws(" ", *fields)), POOL, key)
-        again = ranking.reranked(pool, question or "", key, "__text").select(F.col(key).alias("__key"), F.col("score").alias("__again"))
+        again = ranking.reranked(pool, question or "", key, "__text", even).select(F.col(key).alias("__key"), F.col("score").alias("__again"))
         found = found.join(F.broadcast(again), F.col(key) == F.col("__key"), "left").withColumn("reranker_score", F.col("__again")).drop("__key", "__again")
     order = [F.desc_nulls_last("reranker_score"), F.desc("score"), F.col(key)]
     if order_by:

@@ -273,3 +273,22 @@ def test_word_bounds_are_those_of_sql(spark):
         for t in texts:
             assert value(spark, column(F.lit(t))) == duckdb.execute("SELECT regexp_extract_all(?, ?)", [t, pattern]).fetchone()[0]
     assert value(spark, X.entities(F.lit(texts[0]))) == ["2024", "LT300"]
+
+
+def test_equal_scores_rank_again_as_in_sql(spark, sf, tmp_path):
+    """No document has a word of the question: SQL's division gives NaN, an operator's default 0."""
+    import duckdb
+
+    from gleanery import plans
+
+    spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.lit("nothing of it")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/embeddings.parquet").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("search_semantic", "semantic_rerank", "rank_documents", "search_hybrid"):
+        df, out = plans.QUERIES[name](spark, str(tmp_path)), con.sql(plans.ORACLES[name])
+        want = sorted(repr(r) for r in out.fetchall())
+        assert sorted(repr(tuple(r[c] for c in out.columns)) for r in df.collect()) == want and want
+    docs = spark.createDataFrame([(1, "a b", 1.0), (2, "a b", 1.0)], "id int, text string, score double")
+    assert {r.score for r in ranking.reranked(docs, "zz", "id").collect()} == {0.0}
