@@ -292,3 +292,27 @@ def test_equal_scores_rank_again_as_in_sql(spark, sf, tmp_path):
         assert sorted(repr(tuple(r[c] for c in out.columns)) for r in df.collect()) == want and want
     docs = spark.createDataFrame([(1, "a b", 1.0), (2, "a b", 1.0)], "id int, text string, score double")
     assert {r.score for r in ranking.reranked(docs, "zz", "id").collect()} == {0.0}
+
+
+def test_near_duplicates_in_crowds(spark):
+    """Chains, equal keys and a crowd: as a scan in order decides, with few pairs for the crowd."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    crowd = rng.normal(size=16) + rng.normal(size=(900, 16)) * 0.02
+    turn = [[np.cos(0.2 * k), np.sin(0.2 * k), *[0.0] * 14] for k in range(12)]  # each similar to the next alone
+    m = np.concatenate([crowd, turn, rng.normal(size=(400, 16)), np.zeros((2, 16))])
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    m = m[rng.permutation(len(m))]
+    near, kept = m @ m.T >= 0.97, []
+    for k in range(len(m)):
+        if not near[k, kept].any():
+            kept.append(k)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)] + [(5000, None)], "id long, embedding array<double>").repartition(5)
+    assert sorted(r.id for r in dedup.near_distinct(df, "id").collect()) == [*kept, 5000]
+    tables, bits = dedup.tables_of(len(m), 0.97)
+    assert (tables, bits) == (24, 12) and dedup.tables_of(1 << 24, 0.97)[1] == 16
+    pairs = dedup.blocked_pairs(df.where("id < 5000").withColumn("kept", F.lit(False)), "id", "embedding", 0.97, tables, bits, False)
+    assert 900 <= pairs.count() < 900 * tables < 900 * 899 / 2
+    same = dedup.blockers(np.tile(m[0], (3, 1)), np.array([0, 0, 1]), 0, 0.97)
+    assert same.tolist() == [-1, -1, 0]  # equal keys do not block each other
