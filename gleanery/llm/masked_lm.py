@@ -34,6 +34,7 @@ from .shared import small_batches, staged
 
 VOCAB, WINDOW, HIDDEN, CLASSES = 4096, 2, 24, 128
 ROUNDS, RATE, BATCH = 2, 0.05, 512
+SAFE = 80.0  # exp of this, CLASSES times, and of its negative are 32-bit floats
 BLOCK, SALTS, UNIT = 8192, 32, 1 << 20
 CACHE_WORDS, TOKENS_AT_ONCE = 500_000, 1 << 14
 OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
@@ -79,6 +80,7 @@ class Network:
         for k, shape in self.SHAPES.items():
             setattr(self, k, self.flat[at : at + sizes[k]].reshape(shape))
             at += sizes[k]
+        self.last = self.flat[-(HIDDEN + 1) * CLASSES :].reshape(HIDDEN + 1, CLASSES)  # out, and out_bias as its last row
         self.seen = np.full(self.flat.shape, 1e-3, np.float32)  # squared gradients
 
     @staticmethod
@@ -90,46 +92,67 @@ class Network:
         return np.stack([wide[place[at] + o] for o in OFFSETS])
 
     def forward(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hidden = self.bias + self.vectors[0][ctx[0]]
+        """The hidden values and a one, for the bias, and the logits."""
+        hidden = np.take(self.vectors[0], ctx[0], axis=0)
+        hidden += self.bias
         for k in range(1, 2 * WINDOW):
-            hidden += self.vectors[k][ctx[k]]
-        np.tanh(hidden, out=hidden)
-        return hidden, hidden @ self.out + self.out_bias
+            hidden += np.take(self.vectors[k], ctx[k], axis=0)
+        wide = np.ones((len(hidden), HIDDEN + 1), np.float32)
+        np.tanh(hidden, out=wide[:, :HIDDEN])
+        return wide, wide @ self.last
+
+    @staticmethod
+    def in_range(logits: np.ndarray) -> np.ndarray:
+        """The logits; where exp could leave the range of floats, with 0 as each row's largest."""
+        if len(logits) and not (logits.max() < SAFE and logits.min() > -SAFE):
+            logits -= logits.max(1, keepdims=True)
+        return logits
+
+    @staticmethod
+    def exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits, in their place, and its sums by row."""
+        np.exp(logits, out=logits)
+        return logits, logits @ np.ones(CLASSES, np.float32)
 
     def log_probs(self, ctx: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        logits = self.forward(ctx)[1]
-        most = logits.max(1)
-        logits -= most[:, None]
-        own = logits[np.arange(len(classes)), classes]
-        return own - np.log(np.exp(logits, out=logits).sum(1))
+        """In pieces of BATCH, so that logits stay in the processor's cache."""
+        out = np.empty(len(classes), np.float32)
+        for k in range(0, len(classes), BATCH):
+            own = classes[k : k + BATCH]
+            logits = self.in_range(self.forward(ctx[:, k : k + BATCH])[1])
+            chosen = logits[np.arange(len(own)), own]
+            out[k : k + BATCH] = chosen - np.log(self.exps(logits)[1])
+        return out
 
     def step(self, ctx: np.ndarray, classes: np.ndarray) -> None:
         """An AdaGrad step on the mean negative log-probability."""
-        hidden, logits = self.forward(ctx)
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(classes)), classes] -= 1
-        p /= len(classes) ** 0.5
-        back = (p @ self.out.T) * (1 - hidden * hidden)
-        grads = {"bias": back.sum(0), "out": hidden.T @ p, "out_bias": p.sum(0)}
-        at = 0
-        for k, shape in self.SHAPES.items():
-            size = int(np.prod(shape))
-            seen = self.seen[at : at + size].reshape(shape)
-            if k == "vectors":
-                rows = (ctx + np.arange(2 * WINDOW)[:, None] * (VOCAB + 1)).ravel()
-                order = np.argsort(rows.astype(np.uint16) if 2 * WINDOW * (VOCAB + 1) <= 1 << 16 else rows, kind="stable")  # 16 bits are sorted by radix
-                rows = rows[order]
-                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                g, rows = np.add.reduceat(back[order % len(classes)], first, axis=0), rows[first]
-                table, seen = self.vectors.reshape(-1, HIDDEN), seen.reshape(-1, HIDDEN)
-                new = seen[rows] + g * g
-                seen[rows] = new
-                table[rows] -= RATE * g / np.sqrt(new)
-            else:
-                seen += grads[k] ** 2
-                getattr(self, k)[...] -= RATE * grads[k] / np.sqrt(seen)
-            at += size
+        n = len(classes)
+        wide, logits = self.forward(ctx)
+        p, sums = self.exps(self.in_range(logits))
+        p *= (1 / (sums * np.float32(n**0.5)))[:, None]
+        p[np.arange(n), classes] -= np.float32(1 / n**0.5)
+        hidden = wide[:, :HIDDEN]
+        back = p @ self.out.T
+        back *= 1 - hidden * hidden
+        tables = 2 * WINDOW * (VOCAB + 1)
+        rows = (ctx + np.arange(2 * WINDOW)[:, None] * (VOCAB + 1)).ravel()
+        order = np.argsort(rows.astype(np.uint16) if tables <= 1 << 16 else rows, kind="stable")  # 16 bits are sorted by radix
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        each = np.take(back, order % n, axis=0).view(np.complex64)  # two numbers are added at once
+        g, rows = np.add.reduceat(each, first, axis=0).view(np.float32), rows[first]
+        table, seen = self.vectors.reshape(-1, HIDDEN), self.seen[: tables * HIDDEN].reshape(-1, HIDDEN)
+        new = np.take(seen, rows, axis=0)
+        new += g * g
+        seen[rows] = new
+        g *= RATE
+        g /= np.sqrt(new, out=new)
+        table[rows] -= g
+        for part, g in ((self.flat[tables * HIDDEN : tables * HIDDEN + HIDDEN], back.sum(0)), (self.last.reshape(-1), (wide.T @ p).ravel())):
+            at = tables * HIDDEN + (HIDDEN if g.size > HIDDEN else 0)
+            seen = self.seen[at : at + g.size]
+            seen += g * g
+            part -= RATE * g / np.sqrt(seen)
 
 
 def tokenised(docs: DataFrame) -> DataFrame:

@@ -172,3 +172,47 @@ def test_contexts_stay_within_a_text():
     pad = masked_lm.VOCAB
     got = masked_lm.Network.contexts(tokens, lengths, np.array([0, 1, 2, 5]))
     assert got.T.tolist() == [[pad, pad, 2, pad], [pad, 1, pad, pad], [pad, pad, 4, 5], [4, 5, pad, pad]]
+
+
+def test_network_step_is_adagrad_on_softmax():
+    """Against a plain reckoning in 64 bits, also for logits whose exp leaves the range of floats, and within the processor's cache."""
+    rng = np.random.default_rng(4)
+    for scale in (1.0, 400.0):
+        net = masked_lm.Network()
+        net.last[...] *= np.float32(scale)
+        flat, seen = net.flat.astype(float), net.seen.astype(float)
+        wide = masked_lm.VOCAB + 1
+        ctx, cls = rng.integers(0, 40, (4, 700)).astype(np.int32), rng.integers(0, masked_lm.CLASSES, 700)
+        vectors, bias, last = flat[: 4 * wide * 24].reshape(4 * wide, 24), flat[4 * wide * 24 :][:24], flat[-25 * 128 :].reshape(25, 128)
+        rows = ctx + np.arange(4)[:, None] * wide
+        hidden = np.tanh(bias + vectors[rows].sum(0))
+        logits = hidden @ last[:24] + last[24]
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            want = np.log(p[np.arange(700), cls])
+        got = net.log_probs(ctx, cls)
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-4, atol=1e-4 * scale)
+        p[np.arange(700), cls] -= 1
+        p /= 700**0.5
+        back = (p @ last[:24].T) * (1 - hidden * hidden)
+        grad = np.zeros_like(flat)
+        np.add.at(grad[: 4 * wide * 24].reshape(-1, 24), rows, back[None])
+        grad[4 * wide * 24 :][:24], grad[-25 * 128 :] = back.sum(0), np.concatenate([hidden.T @ p, p.sum(0)[None]]).ravel()
+        seen += grad * grad
+        net.step(ctx, cls)
+        moved = masked_lm.RATE * grad / np.sqrt(seen)
+        assert np.abs(net.flat - (flat - moved)).max() < 2e-3 * masked_lm.RATE * max(1, scale / 40)
+
+
+def test_logits_stay_in_the_cache():
+    """What is scored at once holds pieces of BATCH rows only."""
+    import tracemalloc
+
+    net, n = masked_lm.Network(), 1 << 16
+    ctx, cls = np.zeros((4, n), np.int32), np.zeros(n, np.int64)
+    tracemalloc.start()
+    net.log_probs(ctx, cls)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * masked_lm.CLASSES  # a quarter of all logits
